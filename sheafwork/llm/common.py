@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -66,3 +67,22 @@ def hot_safe_lookup(facts: DataFrame, dims: DataFrame, keys: Sequence[str], weig
     out = out.withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int") + 1).otherwise(0))
     out = out.join(many, [*keys, "_deal"], "left")
     return out.select(*facts.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in rest))
+
+
+def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and the path for drop_shared."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop_shared(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_finished(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of finished phases now rather than when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
