@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key is hot if it has more than one row in so many; so many keys are hot at most.
 HOT_KEYS = 1000
+#: Lookup tables of so many rows at most (they are counted first) are broadcast whole.
+BROADCAST_ROWS = 4096
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +56,14 @@ def words(text: Column) -> Column:
 def hot_safe_lookup(facts: DataFrame, dims: DataFrame, keys: Sequence[str], weight: str, spread: Column) -> DataFrame:
     """Left join of facts to dims, which has one row a key (no null keys) and in ``weight`` the key's rows among facts.
 
-    Keys with more than one row in HOT_KEYS, at most HOT_KEYS of them, come from a broadcast table; their rows are
+    A table of BROADCAST_ROWS or fewer is broadcast. Beyond that, keys with more than one row in HOT_KEYS, at most HOT_KEYS of them, come from a broadcast table; their rows are
     dealt out over the other join's partitions by ``spread``, so that no task gathers a hot key. dims is read three
     times and should be a checkpoint.
     """
     rest = [c for c in dims.columns if c not in keys]
-    total = dims.agg(F.sum(weight)).first()[0] or 0
+    rows, total = dims.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(dims), list(keys), "left").select(*facts.columns, *rest)
     hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)
     few = dims.filter(hot).select(*keys, F.struct(*rest).alias("_hot"))
     many = dims.filter(~hot).select(*keys, F.lit(0).alias("_deal"), F.struct(*rest).alias("_cold"))
