@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, words
+from .common import cut, documents, hot_safe_lookup, words
 
 LEAF = ("_domain", "_lang", "_source")
 #: Sources end in a number; it says the domain. Weights of what isn't listed are 1.
@@ -64,7 +64,7 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: Ma
     langs = level.groupBy("_domain", "_lang", "_w1").agg(F.sum("_room").alias("_room")).join(domains.select("_domain", "_t0"), "_domain")
     langs = pour(langs, ["_domain"], "_lang", "_w1", "_room", "_t0", "_t1")
     out = level.join(langs.select("_domain", "_lang", "_t1"), ["_domain", "_lang"])
-    return pour(out, ["_domain", "_lang"], "_source", "_w2", "_room", "_t1", "target").select(*LEAF, "tokens", "target")
+    return pour(out, ["_domain", "_lang"], "_source", "_w2", "_room", "_t1", "target").select(*LEAF, "tokens", "_docs", "target")
 
 
 def order_key(seed: int, epoch: Column, id_: Column) -> Column:
@@ -79,11 +79,11 @@ def mix_plan(docs: DataFrame, budget: Column, max_epochs: int, seed: int, weight
     """One row a leaf: target, whole epochs, and the last hash that the epoch after them takes (null: none)."""
     slim = docs.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in leaf_columns(F.col("lang"), F.col("source")).items()), words(F.col(text_col)).alias("_n"))
     slim = cut(slim)
-    leaves = slim.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"))
+    leaves = slim.groupBy(*LEAF).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("_docs"))
     plan = leaf_budgets(leaves, budget, max_epochs, weights)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(0).cast("int"))
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")))
-    keyed = slim.join(plan.select(*LEAF, "epochs", "rest"), list(LEAF)).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id")))
+    keyed = hot_safe_lookup(slim, plan.select(*LEAF, "_docs", "epochs", "rest"), list(LEAF), "_docs", F.col("_id")).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id")))
     keyed = keyed.withColumn("_range", F.substring("_key", 1, 3))
     sums = keyed.groupBy(*LEAF, "_range", "rest").agg(F.sum("_n").alias("_s"), F.max("_key").alias("_last"))
     along = Window.partitionBy(*LEAF).orderBy("_range")  # 4096 rows a leaf at most
@@ -93,14 +93,15 @@ def mix_plan(docs: DataFrame, budget: Column, max_epochs: int, seed: int, weight
     inside = Window.partitionBy(*LEAF).orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     part = keyed.join(split, [*LEAF, "_range"]).withColumn("_sum", F.sum("_n").over(inside)).filter("_sum <= _left").groupBy(*LEAF).agg(F.max("_key").alias("_cut1"))
     out = plan.join(whole, list(LEAF), "left").join(part, list(LEAF), "left")
-    return cut(out.select(*LEAF, "tokens", "target", "epochs", F.greatest("_cut0", "_cut1").alias("_cut")))
+    return cut(out.select(*LEAF, "tokens", "_docs", "target", "epochs", F.greatest("_cut0", "_cut1").alias("_cut")))
 
 
 def mix_select(docs: DataFrame, plan: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
     """docs with _epoch (from 0) and the leaf columns: a row for each epoch in which the plan takes the document."""
-    rows = docs.withColumns(leaf_columns(F.col("lang"), F.col("source"))).join(plan.select(*LEAF, "epochs", "_cut"), list(LEAF))
+    rows = docs.withColumns(leaf_columns(F.col("lang"), F.col("source")))
+    rows = hot_safe_lookup(rows, plan.select(*LEAF, "_docs", "epochs", "_cut"), list(LEAF), "_docs", F.col(id_col))
     last = F.coalesce(order_key(seed, F.col("epochs"), F.col(id_col)) <= F.col("_cut"), F.lit(False))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).filter((F.col("_epoch") < F.col("epochs")) | last)
+    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).filter((F.col("_epoch") < F.col("epochs")) | last).drop("epochs", "_cut", "_docs")
 
 
 def mix_sources(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 7, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
