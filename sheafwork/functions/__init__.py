@@ -1 +1 @@
-"""PDF syntax in plain Python: no module here imports Spark, so workers can import them alone."""
+"""PDF syntax in plain Python (workers import it alone), and in sql.py the same as SQL functions."""
