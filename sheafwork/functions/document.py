@@ -313,6 +313,13 @@ class Document:
         return {k: metadata_text(self.resolve(v)) for k, v in info.items()} if isinstance(info, dict) else {}
 
 
+def opened(data: bytes, filters: dict | None = None) -> Document:
+    """A document whose header was checked."""
+    document = Document(data, filters)
+    header_version(document.data)
+    return document
+
+
 def metadata_text(value) -> str:
     if isinstance(value, bytes):
         if value[:2] == b"\xfe\xff":

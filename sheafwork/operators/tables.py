@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.codecs import filter_names
 from ..functions.content import page_elements
 from ..functions.content import operators as content_operators
-from ..functions.document import Document, header_version
+from ..functions.document import Document, header_version, opened
 from ..functions.fonts import FontEncoder, encoder_of
 from ..functions.lexer import tokenize
 from ..functions.values import INT_MAX, ParseError, Stream, kind_of, to_json
@@ -188,7 +188,7 @@ def objects(files: DataFrame, mode: str = "permissive", decode: bool = False) ->
     """All objects that aren't free; a stream's value is its dictionary, its bytes as they stand or decoded."""
 
     def rows(doc, content):
-        d = Document(content)
+        d = opened(content)
         for e, value in d.all_objects():
             stream = isinstance(value, Stream)
             data = (d.decoded(value) if decode else value.data) if stream else None
@@ -202,7 +202,7 @@ def pages(files: DataFrame, start: int = 0, end: int | None = None, contents: bo
     check_range(start, end)
 
     def rows(doc, content):
-        d = Document(content, extensions.filters)
+        d = opened(content, extensions.filters)
         for p in d.pages[start:end]:
             b = p.media_box
             yield p.number, b[2] - b[0], b[3] - b[1], b, to_json(p.resources), d.contents(p) if contents else None
@@ -255,7 +255,7 @@ def fonts(files: DataFrame, start: int = 0, end: int | None = None, mode: str =
     check_range(start, end)
 
     def rows(doc, content):
-        d = Document(content)
+        d = opened(content)
         for p in d.pages[start:end]:
             for name, font in d.fonts(p).items():
                 e = encoder_of(font, d)
@@ -269,7 +269,7 @@ def operators(files: DataFrame, start: int = 0, end: int | None = None, mode: st
     check_range(start, end)
 
     def rows(doc, content):
-        d = Document(content)
+        d = opened(content)
         for p in d.pages[start:end]:
             for seq, o in enumerate(content_operators(d.contents(p) or b"")):
                 yield p.number, seq, o.name, to_json(o.operands), o.offset
@@ -282,7 +282,7 @@ def page_rows(files: DataFrame, start: int = 0, end: int | None = None, geometry
     check_range(start, end)
 
     def rows(doc, content):
-        d = Document(content, extensions.filters)
+        d = opened(content, extensions.filters)
         for p in d.pages[start:end]:
             data = d.contents(p)
             found = page_elements(data, encoders(d, p, doc, extensions), geometry=geometry, decoding=decoding, extra=extensions.operators) if data else []
@@ -303,7 +303,7 @@ def with_bbox(df: DataFrame) -> DataFrame:
 
 def metadata(files: DataFrame, mode: str = "permissive") -> DataFrame:
     def rows(doc, content):
-        yield from ((str(k), v) for k, v in Document(content).metadata.items())
+        yield from ((str(k), v) for k, v in opened(content).metadata.items())
 
     return parsed(files, rows, METADATA, mode)
 
@@ -312,7 +312,7 @@ def stream_filters(files: DataFrame, mode: str = "permissive") -> DataFrame:
     """obj_num, filters and decoded length of each stream."""
 
     def rows(doc, content):
-        d = Document(content)
+        d = opened(content)
         for e, value in d.all_objects():
             if isinstance(value, Stream):
                 yield e.number, [str(n) for n in filter_names(d.resolve(value.get("Filter")))], len(d.decoded(value))
