@@ -320,3 +320,26 @@ def stream_filters(files: DataFrame, mode: str = "permissive") -> DataFrame:
     return parsed(files, rows, "obj_num BIGINT, filters ARRAY<STRING>, decoded_length BIGINT", mode)
 
 
+
+
+def resolved(refs: DataFrame, objects_table: DataFrame) -> DataFrame:
+    """refs (doc_id, obj_num, ...) with kind, value and stream_data of the objects that they name; null where there is none."""
+    found = objects_table.select("doc_id", "obj_num", "kind", "value", "stream_data")
+    return refs.join(found, ["doc_id", "obj_num"], "left")
+
+
+def page_contents(objects_table: DataFrame, tree: DataFrame) -> DataFrame:
+    """doc_id, page_number, content by joins: the pages of page_tree, their references to contents, the decoded streams.
+
+    objects_table comes from objects(..., decode=True). Parts are parted by a line end where they lack one; empty parts
+    are left out. A page without contents has none.
+    """
+    pages_ = resolved(tree, objects_table)
+    one = F.try_variant_get("value", "$.Contents.ref[0]", "bigint")
+    many = F.transform(F.try_variant_get("value", "$.Contents", "array<struct<ref: array<bigint>>>"), lambda r: r["ref"][0])
+    refs = pages_.select("doc_id", "page_number", F.posexplode_outer(F.coalesce(F.when(one.isNotNull(), F.array(one)), many)).alias("part", "obj_num"))
+    parts = resolved(refs, objects_table.filter("kind = 'stream'"))
+    gathered = parts.groupBy("doc_id", "page_number").agg(F.count("obj_num").alias("_n"), F.sort_array(F.collect_list(F.when(F.octet_length("stream_data") > 0, F.struct("part", "stream_data")))).alias("_parts"))
+    joined = F.expr("aggregate(_parts, CAST('' AS BINARY), (a, s) -> concat(a, IF(substring(s.stream_data, -1, 1) = X'0A', s.stream_data, concat(s.stream_data, X'0A'))))")
+    single = F.when(F.size("_parts") > 0, F.element_at("_parts", 1)["stream_data"]).otherwise(F.lit(b""))
+    return gathered.select("doc_id", "page_number", F.when(F.col("_n") == 1, single).when(F.col("_n") > 1, joined).alias("content"))

@@ -100,6 +100,26 @@ def pdf_page_tree_join(spark, sf_dir):
     return found.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("pages"), F.min("page_number").cast("long").alias("first_page"), F.max("page_number").cast("long").alias("last_page"))
 
 
+@query(f"SELECT conv_id, page_number, 1 AS shows, len(text) - len(replace(text, chr(10), '')) AS next_lines FROM ({CONVERSATION})")
+def pdf_contents_join(spark, sf_dir):
+    """Page contents by joins over the tables of objects, rather than in the parser."""
+    files = conversation_files(spark, sf_dir)
+    tree = tables.page_tree(tables.objects(files), tables.trailer(files))
+    text = F.col("content").cast("string")
+    found = tables.page_contents(tables.objects(files, decode=True), tree)
+    return found.select(F.col("doc_id").alias("conv_id"), F.col("page_number").cast("long").alias("page_number"), F.regexp_count(text, F.lit(r"\) Tj\n")).alias("shows"), F.regexp_count(text, F.lit(r"\) '\n")).cast("long").alias("next_lines"))
+
+
+@query("SELECT s_suppkey, 'dictionary' AS root_kind, 'Catalog' AS root_type, true AS missing_is_null FROM supplier")
+def pdf_resolve_references(spark, sf_dir):
+    """References to objects by a left join: the root, and one that isn't there."""
+    files = text_pdfs(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name")
+    refs = tables.trailer_summary(tables.trailer(files)).select("doc_id", F.explode(F.array(F.col("root.obj"), F.lit(99).cast("long"))).alias("obj_num"))
+    found = tables.resolved(refs, tables.objects(files))
+    root = F.col("obj_num") != 99
+    return found.groupBy(F.col("doc_id").alias("s_suppkey")).agg(F.max(F.when(root, F.col("kind"))).alias("root_kind"), F.max(F.when(root, F.try_variant_get("value", "$.Type.n", "string"))).alias("root_type"), F.bool_and(F.when(~root, F.col("kind").isNull())).alias("missing_is_null"))
+
+
 @query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS page_number, l_quantity::DOUBLE AS width, round(l_extendedprice, 2) AS height FROM lineitem")
 def pdf_media_box(spark, sf_dir):
     boxes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("lines"))
