@@ -17,7 +17,7 @@ from array import array
 import ahocorasick
 
 #: Pieces longer than this are not remembered, and no more pieces than that at a time.
-LONGEST_KEPT, MOST_KEPT = 48, 600_000
+LONGEST_KEPT, MOST_KEPT = 48, 200_000
 
 
 class PrefixBpe:

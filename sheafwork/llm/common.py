@@ -42,6 +42,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of the batches that go to Python workers, where the session has Spark's own numbers: texts are long.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, which the JVM and a worker each hold."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a reliable checkpoint in the shared folder: lost executors don't cost them."""
     shared_dir(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pages
+from .common import pages, small_batches
 
 # Kinds of elements as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -345,6 +345,7 @@ def extract_text(rows: DataFrame, id_col: str = "page_id", html_col: str = "html
     A null or empty page has the empty text; a null id stays null; repeated rows come back each; an empty table gives
     no rows. Other columns are ignored.
     """
+    small_batches(rows.sparkSession)
     kind = dict(rows.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, documents, hot_safe_lookup
+from .common import cut, documents, hot_safe_lookup, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -185,6 +185,7 @@ def regrouped(rows: DataFrame, sizes: DataFrame, spread: Column) -> DataFrame:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, group, counts and vector of each row, from a checkpoint), sizes of groups, estimates of the rows that pass the limits."""
+    small_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in group_columns(F.col("lang"), F.col("source")).items()), text_stats(F.col(text_col).cast("string")).alias("_s")))
     passed = rows.filter(~base_failed(F.col("_s")))
     sizes = cut(passed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size")))
@@ -206,9 +207,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their columns as they are. Texts are read again rather than shuffled."""
     _, sizes, params = judged(docs, id_col, text_col)
-    rows = docs.withColumns(group_columns(F.col("lang"), F.col("source")) | {"_s": text_stats(F.col(text_col).cast("string"))}).filter(~base_failed(F.col("_s")))
-    out = hot_safe_lookup(regrouped(rows, sizes, F.col(id_col)), params.withColumnsRenamed({"n": "_n", "mean": "_mean", "inverse": "_inverse"}), GROUP, "_n", F.col(id_col))
-    return out.filter(~is_outlier(F.col("_s.z"), F.col("_mean"), F.col("_inverse"))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *(c.alias(k) for k, c in group_columns(F.col("lang"), F.col("source")).items()), text_stats(F.col(text_col).cast("string")).alias("_s"))
+    out = hot_safe_lookup(regrouped(rows.filter(~base_failed(F.col("_s"))), sizes, F.col("_id")), params, GROUP, "n", F.col("_id"))
+    return out.filter(~is_outlier(F.col("_s.z"), F.col("mean"), F.col("inverse"))).select("_row.*")
 
 
 def op7_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

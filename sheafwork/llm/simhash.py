@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents, hot_safe_lookup
+from .common import cut, documents, hot_safe_lookup, small_batches
 from .components import component_labels
 
 #: Nodes of one tree.
@@ -163,6 +163,7 @@ def near_links(sharded: DataFrame, radius: int, name_type: str = "bigint") -> Da
 
 def fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(_id, _fp): 64-bit SimHash as a long."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +251,7 @@ def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     the same shingles: two documents with a similarity of 0.8 share a shard with a probability of 0.9998. Nulls, empty
     texts, repeated rows and other columns are treated as in simhash_components.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

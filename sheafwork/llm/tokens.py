@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PieceCounter, WordBpe
-from .common import documents
+from .common import documents, small_batches
 
 #: Rows that go back to Spark at once.
 OUT_ROWS = 512
@@ -51,6 +51,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     A null text counts as empty; a null id stays null; repeated rows are counted each; an empty table gives no rows.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint" + ", prefix_tokens array<int>" * prefixes
 
@@ -76,6 +77,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     of the decoded text in UTF-8. A null text counts as empty; a null id stays null; repeated rows are encoded each; an
     empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
@@ -103,6 +105,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and decoded: the text of each array of ids (null: empty), special tokens included."""
+    small_batches(encoded.sparkSession)
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_shared, hot_safe_lookup, pages, shared_path
+from .common import cut, drop_shared, hot_safe_lookup, pages, shared_path, small_batches
 
 CHUNK = 1 << 20
 #: RFC 4648.
@@ -146,6 +146,7 @@ READ = "_id string, record_type string, _to string, chunk_no int, data binary, l
 
 def read_chunks(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
     """The chunk table of the archives under ``path``; without ``data``, only each record's last row, without bytes."""
+    small_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("_file"), F.col("value").cast("binary").alias("_line"))
     types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.string())
     names = [f.split()[0] for f in READ.split(", ")]
