@@ -34,7 +34,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, share=SHARE, max_epochs=EPOCHS, seed=SEED).select(*docs.columns)
+    return mix_sources(docs, share=SHARE, max_epochs=EPOCHS, seed=SEED).select("document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,7 +85,8 @@ def mix_plan(docs: DataFrame, budget: Column, max_epochs: int, seed: int, weight
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")))
     keyed = hot_safe_lookup(slim, plan.select(*LEAF, "_docs", "epochs", "rest"), list(LEAF), "_docs", F.col("_id")).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id")))
     keyed = keyed.withColumn("_range", F.substring("_key", 1, 3))
-    sums = keyed.groupBy(*LEAF, "_range", "rest").agg(F.sum("_n").alias("_s"), F.max("_key").alias("_last"))
+    # Written before the window: else one exchange by leaf would serve both, with a hot leaf's partial sums in one task.
+    sums = cut(keyed.groupBy(*LEAF, "_range", "rest").agg(F.sum("_n").alias("_s"), F.max("_key").alias("_last")))
     along = Window.partitionBy(*LEAF).orderBy("_range")  # 4096 rows a leaf at most
     sums = cut(sums.withColumn("_upto", F.sum("_s").over(along)))
     whole = sums.filter("_upto <= rest").groupBy(*LEAF).agg(F.max("_last").alias("_cut0"))
@@ -97,20 +98,20 @@ def mix_plan(docs: DataFrame, budget: Column, max_epochs: int, seed: int, weight
 
 
 def mix_select(docs: DataFrame, plan: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """docs with _epoch (from 0) and the leaf columns: a row for each epoch in which the plan takes the document."""
-    rows = docs.withColumns(leaf_columns(F.col("lang"), F.col("source")))
-    rows = hot_safe_lookup(rows, plan.select(*LEAF, "_docs", "epochs", "_cut"), list(LEAF), "_docs", F.col(id_col))
-    last = F.coalesce(order_key(seed, F.col("epochs"), F.col(id_col)) <= F.col("_cut"), F.lit(False))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).filter((F.col("_epoch") < F.col("epochs")) | last).drop("epochs", "_cut", "_docs")
+    """document (a struct of the row), epoch (from 0) and the leaf: a row for each epoch in which the plan takes the document."""
+    rows = docs.select(F.struct("*").alias("document"), F.col(id_col).alias("_id"), *(c.alias(k) for k, c in leaf_columns(F.col("lang"), F.col("source")).items()))
+    rows = hot_safe_lookup(rows, plan.select(*LEAF, "_docs", "epochs", "_cut"), list(LEAF), "_docs", F.col("_id"))
+    last = F.coalesce(order_key(seed, F.col("epochs"), F.col("_id")) <= F.col("_cut"), F.lit(False))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).filter((F.col("epoch") < F.col("epochs")) | last)
+    return rows.select("document", "epoch", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"))
 
 
 def mix_sources(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 7, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _epoch and the leaf columns, for a budget of share[0] / share[1] of all tokens (words).
+    """document, epoch, domain, leaf_lang, leaf_source for a budget of share[0] / share[1] of all tokens (words).
 
-    A null text has no words; null languages and sources are the leaf named ''. Documents without words cost nothing:
-    they go with the prefix that their hash falls in. Rows with equal ids have equal hashes and are taken together. An
-    empty table gives no rows. Columns other than lang, source, id and text are carried; their names must not begin
-    with an underscore.
+    ``document`` holds the whole row, whatever the names of its columns. A null text has no words; null languages and
+    sources are the leaf named ''. Documents without words cost nothing: they go with the prefix that their hash falls
+    in. Rows with equal ids have equal hashes and are taken together. An empty table gives no rows.
     """
     budget = F.expr(f"coalesce(_all * {share[0]} div {share[1]}, 0)")
     return mix_select(docs, mix_plan(docs, budget, max_epochs, seed, weights, id_col, text_col), seed, id_col)
@@ -118,7 +119,7 @@ def mix_sources(docs: DataFrame, share: tuple[int, int] = (6, 10), max_epochs: i
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("_epoch").alias("epoch"), F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), words(F.col("text")).alias("n_tokens"))
+    return out.select("document.doc_id", "epoch", "domain", "leaf_lang", "leaf_source", words(F.col("document.text")).alias("n_tokens"))
 
 
 def _case(level: str, name: str) -> str:
