@@ -2,7 +2,7 @@
 
 Level 1 looks at runs of half the window's words. Of the half-runs inside each window the one with the least hash
 stands for it (equal windows have equal ones, so none is lost); these few per document are grouped, and those found in
-one document alone end here. Level 2 takes only windows whose half-run survived, by a 128-bit hash of the whole
+one document alone end here. Level 2 takes only windows whose half-run survived, by a 96-bit hash of the whole
 window, and removes those that start in a document with a smaller id. Texts meet their surviving hashes by id.
 
 Windows under a half-run with more than one row in HOT_KEYS could be a hot group: these go through a partial aggregate
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import HOT_KEYS, cut, documents, drop_shared, free_finished, hot_safe_lookup, write_shared
+from .common import HOT_KEYS, cut, documents, drop_shared, free_finished, hot_safe_lookup, small_batches, write_shared
 
 #: Odd multipliers of two polynomial hashes modulo 2**64 (any would do), and of the finalising mix.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -119,11 +119,11 @@ def surviving_windows(docs: DataFrame, window: int, kind: str) -> DataFrame:
                 if not len(at):
                     continue
                 busy = np.isin(anchors[at], np.array(hot, np.int64).view(np.uint64))
-                a, b = (w.runs(numbers, window, k)[at].view(np.int64) for k in (0, 1))
+                a, b = w.runs(numbers, window, 0)[at].view(np.int64), (w.runs(numbers, window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 ids = batch.column(0).take(pa.array(np.full(len(at), row)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids, pa.array(at.astype(np.int32)), pa.array(busy)], names=["_ha", "_hb", "_id", "_pos", "_busy"])
 
-    return docs.mapInArrow(run, f"_ha bigint, _hb bigint, _id {kind}, _pos int, _busy boolean")
+    return docs.mapInArrow(run, f"_ha bigint, _hb int, _id {kind}, _pos int, _busy boolean")
 
 
 def later_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +165,7 @@ def repeated_starts(docs: DataFrame, window: int) -> DataFrame:
         first = busy.groupBy("_ha", "_hb").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         more = hot_safe_lookup(busy, cut(first), ["_ha", "_hb"], "_n", F.col("_id")).filter("_id > _first").select("_id", "_pos")
         starts = starts.unionByName(more)
-    out = cut(starts.groupBy("_id").agg(F.array_sort(F.collect_set("_pos")).alias("_at")))
-    free_finished(spark)
-    return out
+    return cut(starts.groupBy("_id").agg(F.array_sort(F.collect_set("_pos")).alias("_at")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -178,9 +176,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     smaller nor larger than another: such documents stay whole. Rows with equal ids are one document's for this purpose
     and don't remove each other; each comes back. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     starts = repeated_starts(slim.filter("_id IS NOT NULL"), window)
+    free_finished(docs.sparkSession)  # the windows' shuffle goes before the texts move again
     schema = f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed array<struct<first: int, past: int>>" * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
