@@ -139,7 +139,8 @@ PARAMS = "_lang string, _source string, n bigint, mean array<double>, inverse ar
 def medians(rows: DataFrame) -> DataFrame:
     """(GROUP, _d, _v): exact medians from counts of each whole-number value of rows (GROUP, _d, _v)."""
     by = Window.partitionBy(*GROUP, "_d")
-    tally = rows.groupBy(*GROUP, "_d", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    # Written before the window: else one exchange by group would serve both, with a hot group's partial counts in one task.
+    tally = cut(rows.groupBy(*GROUP, "_d", "_v").agg(F.count(F.lit(1)).alias("_k")))
     tally = tally.withColumns({"_upto": F.sum("_k").over(by.orderBy("_v")), "_all": F.sum("_k").over(by)})
     return tally.filter("2 * _upto >= _all").groupBy(*GROUP, "_d").agg(F.min("_v").alias("_v"))
 
@@ -164,7 +165,7 @@ def estimates(stats: DataFrame) -> DataFrame:
         far = far.withColumn("_bin", F.least(F.floor(distance2(F.col("z"), F.col("mean"), F.col("inverse")) * 256), F.lit(1 << 20)))
         by = Window.partitionBy(*GROUP).orderBy("_bin")  # 2**20 bins a group at most
         bins = far.groupBy(*GROUP, "_bin", "n").agg(F.count(F.lit(1)).alias("_k"), *(F.sum(F.col("z")[i]).alias(f"_s{i}") for i in range(DIMS)), *(F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"_p{k}") for k, (i, j) in enumerate(PAIRS)))
-        near = bins.withColumn("_before", F.sum("_k").over(by) - F.col("_k")).filter(F.col("_before") < F.ceil(F.col("n") * COVER))
+        near = cut(bins).withColumn("_before", F.sum("_k").over(by) - F.col("_k")).filter(F.col("_before") < F.ceil(F.col("n") * COVER))
         sums = near.groupBy(*GROUP, "n").agg(F.sum("_k").alias("m"), F.array(*(F.sum(f"_s{i}") for i in range(DIMS))).alias("sums"), F.array(*(F.sum(f"_p{k}") for k in range(len(PAIRS)))).alias("products"))
         params = cut(sums.mapInPandas(inverted, PARAMS))
     return params
