@@ -186,8 +186,8 @@ def pigeonhole_shards(nodes: DataFrame, radius: int) -> DataFrame:
 def with_components(prints: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """prints (_id, _fp) with _component, the smallest id of the nodes that links join."""
     named = nodes.join(labels, nodes["_fp"] == labels["_node"], "left").select("_fp", "_least", "_n", F.coalesce("_root", "_fp").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
-    named = cut(named.join(least, "_root").select("_fp", "_n", "_component"))
+    least = cut(named.groupBy("_root").agg(F.min("_least").alias("_component"), F.count(F.lit(1)).alias("_nodes")))
+    named = cut(hot_safe_lookup(named, least, ["_root"], "_nodes", F.xxhash64("_fp")).select("_fp", "_n", "_component"))
     return hot_safe_lookup(prints, named, ["_fp"], "_n", F.col("_id"))
 
 
