@@ -43,6 +43,9 @@ def written_pdfs(df: DataFrame, id_col: str, build: Callable[..., bytes], *colum
 
     cols = df.select(F.col(id_col).alias("doc_id"), *columns)
     cols = cols.toDF("doc_id", *(f"_{k}" for k in range(len(columns))))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:  # writing files is dear, and a table in one file would be one task
+        cols = cols.repartition(cores)
     out = T.StructType([T.StructField("doc_id", cols.schema["doc_id"].dataType), T.StructField("content", T.BinaryType())])
     arrow = to_arrow_schema(out)
 
