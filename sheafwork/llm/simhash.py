@@ -206,11 +206,16 @@ def simhash_components(docs: DataFrame, n: int = 5, radius: int = 2, id_col: str
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
-#: Bits of the wide fingerprint, and bits that may differ between near copies. Sets of words with a Jaccard similarity
-#: of 0.8 have an expected 15 % of differing bits; the radius leaves one and a half standard deviations above that.
-WIDE, WIDE_RADIUS = 512, 90
+#: Near copies: sets of words with a Jaccard similarity of so many fifths at least.
+NEAR, OF = 4, 5
+#: Bits of the wide fingerprint, and bits that may differ between candidates. Near copies have an expected 15 % of
+#: differing bits (77, standard deviation 8) at most; the radius leaves four standard deviations above that.
+WIDE, WIDE_RADIUS = 512, 110
 #: Shards of wide fingerprints: so many keys, each of the least values of so many permutations of the shingles.
 KEYS, KEY_SIZE = 16, 4
+#: Shingles of one piece of a candidate group (with NODE for each set), and positions of the bitmap of candidates' texts.
+PIECE, NODE = 4_000_000, 100
+BITMAP, BUCKET = 1 << 23, 1 << 15
 
 
 @lru_cache(1)
@@ -226,9 +231,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: str, n: int) -> tuple[bytes, list[int]]:
-    """The wide fingerprint of a text's set of shingles, and its shard keys."""
-    hashes = np.unique(shingle_hashes(text, n))
+def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of a set of shingles, and its shard keys."""
     if not len(hashes):
         return bytes(WIDE // 8), [0] * KEYS
     bits = b"".join(majority(mix64(hashes + np.uint64(k))).to_bytes(8, "big") for k in range(WIDE // 64))
@@ -243,13 +247,106 @@ def sketch(text: str, n: int) -> tuple[bytes, list[int]]:
     return bits, total.view(np.int64).tolist()
 
 
+def set_name(hashes: np.ndarray) -> bytes:
+    """128 bits of a sorted set of shingles: equal sets are one node."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is NEAR / OF or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= NEAR * (len(a) + len(b) - both)
+
+
+class Verified:
+    """Sets of a candidate group or piece, and the parts that verified links make of them."""
+
+    def __init__(self) -> None:
+        self.names: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.bits = np.empty((64, WIDE // 64), np.uint64)
+        self.sizes, self.parts = np.empty(64, np.int64), np.empty(64, np.int64)
+
+    def links(self, name: bytes, role: int, bits: bytes, hashes: np.ndarray) -> Iterator[tuple]:
+        """Links of a node, one to each part that has a near copy of it, nearest fingerprints first; role 1 only searches."""
+        n, row, size = len(self.names), np.frombuffer(bits, np.uint64), len(hashes)
+        far = np.bitwise_count(self.bits[:n] ^ row).sum(axis=1, dtype=np.int64)
+        sizes, parts = self.sizes[:n], self.parts[:n]
+        left = np.flatnonzero((far <= WIDE_RADIUS) & (OF * sizes >= NEAR * size) & (NEAR * sizes <= OF * size))
+        left, part = left[np.argsort(far[left], kind="stable")], n
+        while len(left):
+            j, left = left[0], left[1:]
+            if similar(self.sets[j], hashes):
+                yield self.names[j], name
+                old = parts[j]
+                if part == n:
+                    part = old
+                else:
+                    parts[parts == old] = part
+                left = left[parts[left] != part]
+        if role == 0:
+            if n == len(self.sizes):
+                self.bits, self.sizes, self.parts = np.concatenate([self.bits, self.bits]), np.tile(self.sizes, 2), np.tile(self.parts, 2)
+            self.names.append(name)
+            self.sets.append(hashes)
+            self.bits[n], self.sizes[n], self.parts[n] = row, size, part
+
+
+def verified_links(pieces: DataFrame) -> DataFrame:
+    """(_a, _b): a spanning forest of the near copies in each group of rows (_root, _tree, _role, _name, _fp, _set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, Verified(), []
+        for batch in batches:
+            for root, tree, role, name, bits, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, tree) != key:
+                    key, held = (root, tree), Verified()
+                found += held.links(name, role, bits, np.frombuffer(data, np.uint64))
+            if found:
+                yield pa.RecordBatch.from_pylist([{"_a": a, "_b": b} for a, b in found])
+                found = []
+
+    rows = pieces.select("_root", "_tree", "_role", "_name", "_fp", "_set").repartition("_root", "_tree")
+    return rows.sortWithinPartitions("_root", "_tree", "_role", "_name").mapInArrow(run, "_a binary, _b binary")
+
+
+def candidate_sets(docs: DataFrame, members: DataFrame, n: int, text_col: str) -> DataFrame:
+    """members (_copy: the MD5 of a text, and others) with _set, the shingles of the text, instead of _copy.
+
+    Only texts whose place in a bitmap of the members is set are shuffled, copies once a task.
+    """
+    place = F.pmod(F.xxhash64("_copy"), F.lit(BITMAP))
+    marks = members.select(place.alias("_at")).groupBy(F.expr(f"_at div {BUCKET}").alias("_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.col("_at") % BUCKET).alias("_marks"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    facts = docs.select(text.alias("_text")).withColumn("_copy", F.unhex(F.md5("_text"))).withColumn("_at", place)
+    facts = facts.withColumn("_bucket", F.expr(f"_at div {BUCKET}")).join(F.broadcast(marks), "_bucket")
+    byte = F.conv(F.hex(F.substring("_marks", F.expr(f"int(_at % {BUCKET} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    hit = facts.filter(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1)
+    texts = hit.groupBy("_copy", "_text").agg(F.count(F.lit(1)).alias("_k"))
+    rest = [c for c in members.columns if c != "_copy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t, n)).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], names=[*rest, "_set"])
+
+    kinds = dict(members.dtypes)
+    return texts.join(members, "_copy").select("_text", *rest).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "_set binary"]))
+
+
 def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and component_id, the smallest id that chains of near copies reach: shingles of n words, similarity 0.8 or more.
 
     For the 64-bit fingerprint a similarity of 0.8 is some ten differing bits, at which no blocks of bits are sure to
     agree and trees visit all nodes. So the fingerprint is wider, and the shards of the trees come from minwise keys of
-    the same shingles: two documents with a similarity of 0.8 share a shard with a probability of 0.9998. Nulls, empty
-    texts, repeated rows and other columns are treated as in simhash_components.
+    the same shingles: two documents with a similarity of 0.8 share a shard with a probability of 0.9998. Links of the
+    trees only give groups of candidates: no near copies that share a shard are in different groups. The sets of each
+    group meet, and links that span its near copies are those whose similarity, counted exactly, is 0.8 or more; a
+    group with many shingles is cut into pieces that every later piece searches. Nulls, empty texts, repeated rows and
+    other columns are treated as in simhash_components.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -258,14 +355,31 @@ def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [sketch(t or "", n) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b for b, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["_id", "_fp", "_keys"])
-
-    sketches = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, _fp binary, _keys array<bigint>"))
+                rows = []
+                for t in part.column(2).to_pylist():
+                    hashes = np.unique(shingle_hashes(t, n))
+                    rows.append((set_name(hashes), len(hashes), *sketch(hashes)))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["_id", "_copy", "_name", "_size", "_fp", "_keys"])
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    texts = texts.select("_id", F.unhex(F.md5("_text")).alias("_copy"), "_text")
+    sketches = cut(texts.mapInArrow(run, f"_id {kind}, _copy binary, _name binary, _size bigint, _fp binary, _keys array<bigint>"))
     shards = sketches.select(F.col("_fp").alias("_name"), F.posexplode("_keys").alias("_k", "_key")).select(F.struct("_k", "_key").alias("_shard"), "_name")
-    nodes = cut(sketches.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
-    labels = component_labels(cut(near_links(shards, WIDE_RADIUS).distinct()))
-    return with_components(sketches.select("_id", "_fp"), nodes, labels).select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))
+    groups = component_labels(cut(near_links(shards, WIDE_RADIUS).distinct()))
+    nodes = cut(sketches.groupBy("_name").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("_copy").alias("_copy"), F.min("_size").alias("_size"), F.min("_fp").alias("_fp")))
+    named = nodes.join(groups, nodes["_fp"] == groups["_node"], "left")
+    named = cut(named.select("_name", "_copy", "_size", "_fp", F.coalesce("_root", "_fp").alias("_root")))
+    sizes = cut(named.groupBy("_root").agg(F.count(F.lit(1)).alias("_nodes"), F.sum(F.col("_size") + NODE).alias("_weight")).filter("_nodes > 1"))
+    members = hot_safe_lookup(named, sizes, ["_root"], "_nodes", F.xxhash64("_name")).filter("_nodes IS NOT NULL")
+    members = members.withColumn("_piece", F.pmod(F.xxhash64("_name"), F.expr(f"(_weight + {PIECE - 1}) div {PIECE}")))
+    members = cut(members.select("_copy", "_root", "_piece", "_name", "_fp"))
+    # Each set of a large group goes to its own piece and searches those before it.
+    pieces = candidate_sets(docs, members, n, text_col).withColumn("_tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_piece"))))
+    links = verified_links(pieces.withColumn("_role", F.when(F.col("_tree") == F.col("_piece"), 0).otherwise(1)))
+    labels = component_labels(cut(links.distinct()))
+    found = with_components(sketches.select("_id", F.col("_name").alias("_fp")), nodes.select(F.col("_name").alias("_fp"), "_least", "_n"), labels)
+    return found.select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

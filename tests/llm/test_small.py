@@ -162,6 +162,37 @@ def test_near_copies(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [s * 10 for s in range(12)]
 
 
+def test_near_copies_are_verified(spark, monkeypatch):
+    """40 pairs at each of several similarities around 0.8: linked if and only if it is 0.8 or more, in chains too."""
+    rows, want = [], {}
+    for pct, shared in ((70, 247), (75, 257), (78, 263), (80, 267), (82, 271), (85, 276)):  # of 300 shingles each
+        assert abs(100 * shared / (600 - shared) - pct) < 0.6
+        for k in range(40):
+            i = 1000 * pct + 10 * k
+            w = [f"{i}w{j}" for j in range(304)]
+            rows += [(i, " ".join(w), "en", "src0"), (i + 1, " ".join(w[: shared + 4] + [f"{i}x{j}" for j in range(300 - shared)]), "en", "src0")]
+            want |= {i: i, i + 1: i if shared / (600 - shared) >= 0.8 else i + 1}
+    w = [f"c{j}" for j in range(304)]
+    for k in range(4):  # neighbours at 0.8 to 0.83, others below 0.8
+        rows.append((k, " ".join(w[28 * k :] + [f"d{j}" for j in range(28 * k)]), "en", "src0"))
+        want[k] = 0
+    rows += [(4, " ".join(w[:40]), "en", "src0"), (5, " ".join(w[:40]) + " more", "en", "src0"), (6, " ".join(w[:14]), "en", "src0"), (7, " ".join(w[:11]), "en", "src0")]
+    want |= {4: 4, 5: 4, 6: 6, 7: 7}
+    df = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_classes(df).collect()} == want
+    monkeypatch.setattr(simhash, "PIECE", 500)  # two sets or less a piece
+    monkeypatch.setattr(simhash, "WIDE_RADIUS", 200)  # more candidates
+    assert {r.doc_id: r.component_id for r in simhash.near_classes(df.filter("doc_id < 76000")).collect()} == {i: c for i, c in want.items() if i < 76000}
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_similarity_at_the_limit():
+    import numpy as np
+
+    a = np.arange(270, dtype=np.uint64)
+    assert simhash.similar(a, a + np.uint64(30)) and not simhash.similar(a, a + np.uint64(31))
+
+
 # 2
 
 
