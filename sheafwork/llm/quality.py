@@ -31,11 +31,11 @@ DIMS = 5
 COVER, STEPS, TAIL = 0.75, 6, 1e-7
 #: Least standard deviation of a dimension (in thousandths), for those in which most documents agree.
 FLOOR = np.array([60.0, 30.0, 60.0, 150.0, 40.0])
-#: Smaller groups, with fewer than five documents a parameter, share one estimate for each language; if all of them
-#: together are too few, their documents are kept if they pass the limits.
+#: Smaller groups, with fewer than five documents a parameter, are judged by an estimate over all documents of their
+#: language, large groups included; if those are too few, by one over all documents, however few (FLOOR regularises it).
 LEAST = 5 * (DIMS + DIMS * (DIMS + 1) // 2)
 GROUP = ("_lang", "_source")
-FEW = "\0few"
+ALL = "\0all"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("z", T.ArrayType(T.DoubleType()))])
 
@@ -151,9 +151,9 @@ def as_vector(values: DataFrame, name: str) -> DataFrame:
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """(GROUP, n, mean, inverse) of every group of LEAST or more rows of stats (GROUP, z)."""
-    sizes = cut(stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST))
-    rows = hot_safe_lookup(stats, sizes, GROUP, "n", F.xxhash64("z")).filter("n IS NOT NULL").select(*GROUP, "z")
+    """(GROUP, n, mean, inverse) of every group of stats (GROUP, z)."""
+    sizes = cut(stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
+    rows = stats.select(*GROUP, "z")
     centre = cut(sizes.join(as_vector(medians(rows.select(*GROUP, F.posexplode("z").alias("_d", "_v"))), "mean"), list(GROUP)))
     spread = hot_safe_lookup(rows, centre, GROUP, "n", F.xxhash64("z")).select(*GROUP, F.posexplode(F.zip_with("z", "mean", lambda a, b: F.abs(a - b))).alias("_d", "_v"))
     spread = as_vector(medians(spread), "_mad")
@@ -172,31 +172,53 @@ def estimates(stats: DataFrame) -> DataFrame:
 
 
 def is_outlier(z: Column, mean: Column, inverse: Column) -> Column:
-    """Beyond the cut-off, in the distance of the deviations on the bad side alone; false without an estimate."""
+    """Beyond the cut-off, in the distance of the deviations on the bad side alone; false for rows of no group, which fail the limits."""
     bad = F.array(z[0], *(F.greatest(z[i], mean[i]) for i in range(1, DIMS)))
     limit = chi2_quantile(1 - TAIL, DIMS)
     return F.coalesce((distance2(z, mean, inverse) > limit) & (distance2(bad, mean, inverse) > limit), F.lit(False))
 
 
+def pools(passed: DataFrame) -> tuple[DataFrame, bool]:
+    """(GROUP, _size, _by_lang, _by_source: the group whose estimate judges it, _lang_pool: whether a language's rows make one), and whether all rows make one."""
+    sizes = cut(passed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size")))
+    langs = cut(sizes.groupBy("_lang").agg(F.sum("_size").alias("_all"), F.min("_size").alias("_min"), F.count(F.lit(1)).alias("_groups")))
+    found = hot_safe_lookup(sizes, langs, ["_lang"], "_groups", F.xxhash64("_source"))
+    large, pooled = F.col("_size") >= LEAST, F.col("_all") >= LEAST
+    by = {"_by_lang": F.when(large | pooled, F.col("_lang")).otherwise(ALL), "_by_source": F.when(large, F.col("_source")).otherwise(ALL)}
+    out = cut(found.withColumns(by).withColumn("_lang_pool", (F.col("_min") < LEAST) & pooled).select(*GROUP, "_size", *by, "_lang_pool"))
+    return out, not langs.filter(~pooled).isEmpty()
+
+
 def regrouped(rows: DataFrame, sizes: DataFrame, spread: Column) -> DataFrame:
-    """rows with the sources of small groups, and of those without a size, replaced by FEW."""
-    found = hot_safe_lookup(rows, sizes, GROUP, "_size", spread)
-    return found.withColumn("_source", F.when(F.col("_size") >= LEAST, F.col("_source")).otherwise(FEW)).drop("_size")
+    """rows with the group whose estimate judges them; that of rows without a size is null."""
+    found = hot_safe_lookup(rows, sizes.select(*GROUP, "_size", "_by_lang", "_by_source"), GROUP, "_size", spread)
+    return found.withColumns({"_lang": F.col("_by_lang"), "_source": F.col("_by_source")}).drop("_size", "_by_lang", "_by_source")
+
+
+def pooled_stats(passed: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
+    """(GROUP, z) of passed rows, once for each estimate that they are part of."""
+    found = hot_safe_lookup(passed, sizes.select(*GROUP, "_size", "_lang_pool"), GROUP, "_size", F.col("_id"))
+    own = F.when(F.col("_size") >= LEAST, F.struct(*GROUP))
+    lang = F.when(F.col("_lang_pool"), F.struct("_lang", F.lit(ALL).alias("_source")))
+    everything = [F.struct(F.lit(ALL).alias("_lang"), F.lit(ALL).alias("_source"))] if whole else []
+    to = F.explode(F.filter(F.array(own, lang, *everything), lambda g: g.isNotNull())).alias("_to")
+    return found.select(to, F.col("_s.z").alias("z")).select("_to.*", "z")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, group, counts and vector of each row, from a checkpoint), sizes of groups, estimates of the rows that pass the limits."""
+    """(id, group, counts and vector of each row, from a checkpoint), groups with their sizes and pools, estimates of the rows that pass the limits."""
     small_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in group_columns(F.col("lang"), F.col("source")).items()), text_stats(F.col(text_col).cast("string")).alias("_s")))
     passed = rows.filter(~base_failed(F.col("_s")))
-    sizes = cut(passed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size")))
-    return rows, sizes, estimates(regrouped(passed, sizes, F.col("_id")).select(*GROUP, F.col("_s.z").alias("z")))
+    sizes, whole = pools(passed)
+    return rows, sizes, estimates(pooled_stats(passed, sizes, whole))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the five counts, base_failed, kept; one row for each input row.
 
-    A null text has no words and fails the limits. Groups are (lang, source), nulls as empty names. Repeated rows count
+    A null text has no words and fails the limits. Groups are (lang, source), nulls as empty names; small ones
+    are judged by their language or by all documents. Repeated rows count
     and come back each; ties in distance are covered together. An empty table gives no rows. Other columns are ignored.
     """
     rows, sizes, params = judged(docs, id_col, text_col)

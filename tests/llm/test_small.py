@@ -451,6 +451,20 @@ def test_outliers_against_brute_force(spark, lookup_rows):
     assert np.allclose(params["mean"], mean) and np.allclose(params["inverse"], [inv[i, j] * (1 + (i != j)) for i, j in quality.PAIRS]) and cov0.shape == (5, 5)
 
 
+def test_small_groups_are_judged(spark, lookup_rows):
+    """A source of 50 documents beside a large one, a rare language and a null one: junk goes, the rest stays."""
+    rows = [(k, prose(80 + k % 40, k), "en", "src1") for k in range(300)]
+    rows += [(1000 + k, prose(80 + k % 40, 500 + k), "en", "src2") for k in range(50)]
+    rows += [(2000 + k, prose(80 + k % 40, 600 + k), "xx" if k % 2 else None, "src3") for k in range(20)]
+    junk = {1003, 1007, 2004, 2005}
+    rows = [(i, " ".join(w + "%%%" for w in t.split()) if i in junk else t, *r) for i, t, *r in rows]
+    df = frame(spark, rows)
+    assert {r.doc_id for r in quality.quality_verdicts(df).collect() if not r.kept} == junk
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, *_ in rows} - junk
+    groups = {(r["_lang"], r["_source"]): r["n"] for r in quality.judged(df)[2].collect()}
+    assert groups == {("en", "src1"): 300, ("en", quality.ALL): 350, (quality.ALL, quality.ALL): 370}
+
+
 def test_chi2():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3) and quality.chi2_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
 
