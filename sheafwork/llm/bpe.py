@@ -131,58 +131,57 @@ class PieceCounter:
         # Line ends in no longer piece part the text like the starts of words do.
         stop = "" if "\n" in inner else "\n"
         self.cut = re.compile(f" +[^ {stop}]*|[^ {stop}]+" + (f"|{stop}" if stop else ""))
-        self.totals = Kept(self._total)
+        self.counts = Kept(self._counts)
 
     def _weight(self, token: str) -> int:
         return 1 if len(token) > 1 or token in self.known else len(token.encode("utf-8", "surrogatepass"))
 
-    def _counts(self, chunk: str) -> list[int]:
+    def _counts(self, chunk: str) -> bytes | array:
+        """The token counts of the chunk's prefixes of 1, 2, ... characters."""
         counts: list[int] = []
+        known = self.known
         for at, t in enumerate(self.bpe.last_tokens(chunk.replace(" ", self.MARK))):
-            start = at - len(t)
-            counts.append((counts[start] if start >= 0 else 0) + self._weight(t))
-        return counts
-
-    def _total(self, chunk: str) -> int:
-        last, at, total, known = self.bpe.last_tokens(chunk.replace(" ", self.MARK)), len(chunk) - 1, 0, self.known
-        while at >= 0:
-            t = last[at]
-            total += 1 if len(t) > 1 or t in known else self._weight(t)
-            at -= len(t)
-        return total
+            size = len(t)
+            before = counts[at - size] if size <= at else 0
+            counts.append(before + (1 if size > 1 or t in known else self._weight(t)))
+        return bytes(counts) if max(counts) < 256 else array("i", counts)
 
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(" " + text.replace(self.MARK, " ")) if text else []
 
     def total(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.chunks(text)))
+        return self.measure(text, 0)[0]
 
     def prefix_counts(self, text: str) -> array:
         """For k = 0, 1, ... len(text): the number of tokens of text[:k]."""
         out, base = array("i"), 0
         for chunk in self.chunks(text):
-            counts = self._counts(chunk)
-            out.extend(base + c for c in counts)
+            counts = self.counts[chunk]
+            out.extend([base + c for c in counts])
             base += counts[-1]
         if not out:
             return array("i", [0])
         out[0] = 0  # the mark before the first character counts with that character
         return out
 
-    def fit(self, text: str, budget: int) -> int:
-        """The largest k for which text[:k] has at most ``budget`` tokens, whether or not shorter prefixes have more."""
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """The number of tokens, and the largest k for which text[:k] has at most ``budget``, whether or not shorter
+        prefixes have more. Both are read from the stored counts of the chunks' prefixes."""
+        found = list(map(self.counts.__getitem__, self.chunks(text)))
+        whole = sum([c[-1] for c in found])
+        if whole <= budget:
+            return whole, len(text)
         base, at, best = 0, -1, 0
-        for chunk in self.chunks(text):
+        for counts in found:
             # A prefix inside a chunk may have more tokens than the whole chunk; it has none fewer than base + 1.
-            if base + 1 > budget:
+            if base >= budget:
                 break
-            total = self.totals[chunk]
-            if base + total <= budget:
-                best = at + len(chunk)
+            if base + counts[-1] <= budget:
+                best = at + len(counts)
             else:
-                best = max([best, *(at + k for k, c in enumerate(self._counts(chunk), 1) if base + c <= budget)])
-            base, at = base + total, at + len(chunk)
-        return max(best, 0)
+                best = max([best, *(at + k for k, c in enumerate(counts, 1) if base + c <= budget)])
+            base, at = base + counts[-1], at + len(counts)
+        return whole, max(best, 0)
 
 
 def byte_letters() -> list[str]:

@@ -1,20 +1,20 @@
 """Quality rules: fixed limits, and robust multivariate outliers by minimum covariance determinant.
 
 Each document gives counts and a vector of transformed statistics, rounded to whole thousandths. For each language and
-source, the estimate starts from medians and median deviations and takes concentration steps: mean and covariance of
-the h = COVER of the documents nearest by Mahalanobis distance, again and again. Every step covers all documents of
-the group, in partial aggregates of whole numbers (so results don't depend on their order); nearness is ranked in a
-histogram of distances. Documents that pass the limits but lie beyond the cut-off are rejected, if their vector lies
-on the bad side: more symbols, capitals, repeated lines or marks than the group's centre, or words of odd length.
+source, estimates start from medians and median deviations and from small subsets drawn by hash. Each start takes
+concentration steps: mean and covariance of the COVER of the documents nearest by Mahalanobis distance, again and
+again. After FIRST_STEPS the start with the least determinant goes on, until its determinant falls no more. Every step
+covers all documents of the group, in partial aggregates of whole numbers (so results don't depend on their order);
+nearness is ranked in a histogram of distances. Documents that pass the limits but lie beyond the cut-off are rejected.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +27,13 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 #: Dimensions: log of the mean word length; square roots of symbols a character, capitals a letter, repeated lines a line, other marks a character.
 DIMS = 5
-#: Share of a group that an estimate covers, concentration steps, chance of a normal document beyond the cut-off.
-COVER, STEPS, TAIL = 0.75, 6, 1e-7
+#: Share of a group that an estimate covers, chance of a normal document beyond the cut-off.
+COVER, TAIL = 0.75, 1e-7
+#: Starts by hash besides that from medians, rows of each (about), steps before the best start is chosen. A run that
+#: has not settled after ROUNDS steps fails; steps in which the log of the determinant falls by less than SETTLED end it.
+DRAWN, DRAWN_ROWS, FIRST_STEPS, ROUNDS, SETTLED = 2, 4 * (DIMS + 1), 2, 100, 1e-6
 #: Least standard deviation of a dimension (in thousandths), for those in which most documents agree.
-FLOOR = np.array([60.0, 30.0, 60.0, 150.0, 40.0])
+FLOOR = np.array([60.0, 30.0, 60.0, 100.0, 40.0])
 #: Smaller groups, with fewer than five documents a parameter, are judged by an estimate over all documents of their
 #: language, large groups included; if those are too few, by one over all documents, however few (FLOOR regularises it).
 LEAST = 5 * (DIMS + DIMS * (DIMS + 1) // 2)
@@ -104,6 +107,7 @@ def chi2_quantile(p: float, dims: int) -> float:
     return low
 
 
+@lru_cache(1)
 def consistency() -> float:
     """What a covariance of the nearest COVER of normal rows is multiplied by."""
     return COVER / gamma_p(DIMS / 2 + 1, chi2_quantile(COVER, DIMS) / 2)
@@ -118,22 +122,49 @@ def distance2(z: Column, mean: Column, inverse: Column) -> Column:
     return sum((inverse[k] * d[i] * d[j] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of a group's nearest rows to its mean and inverse covariance."""
-    scale = consistency()
-    for f in frames:
-        rows = []
-        for r in f.itertuples(index=False):
-            mean = np.array(r.sums) / r.m
-            cov = np.zeros((DIMS, DIMS))
-            for k, (i, j) in enumerate(PAIRS):
-                cov[i, j] = cov[j, i] = (r.products[k] / r.m - mean[i] * mean[j]) * scale
-            inv = np.linalg.inv(cov + np.diag(FLOOR**2))
-            rows.append((r[0], r[1], r.n, mean.tolist(), [inv[i, j] * (1 + (i != j)) for i, j in PAIRS]))
-        yield pd.DataFrame(rows, columns=[*GROUP, "n", "mean", "inverse"])
+def bin_of(squared: Column) -> Column:
+    """The place of a squared distance in the histogram: steps of 1/256, and of 1/4096 of itself beyond 4096."""
+    far = (1 << 20) + F.floor(F.log(squared / 4096) * 4096)
+    return F.when(squared < 4096, F.floor(squared * 256)).otherwise(far)
 
 
-PARAMS = "_lang string, _source string, n bigint, mean array<double>, inverse array<double>"
+def estimate(m: int, sums: list[float], products: list[float]) -> tuple[list[float], list[float], float]:
+    """Mean, inverse covariance and log of the determinant of the rows with these sums."""
+    mean = np.array(sums) / m
+    cov = np.zeros((DIMS, DIMS))
+    for k, (i, j) in enumerate(PAIRS):
+        cov[i, j] = cov[j, i] = (products[k] / m - mean[i] * mean[j]) * consistency()
+    cov += np.diag(FLOOR**2)
+    inv = np.linalg.inv(cov)
+    return mean.tolist(), [inv[i, j] * (1 + (i != j)) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
+
+
+PARAMS = "_lang string, _source string, n bigint, _start int, mean array<double>, inverse array<double>, logdet double"
+
+
+def estimated(sums: DataFrame) -> DataFrame:
+    """PARAMS of rows (GROUP, n, _start, m, sums, products): those of a group's rows that an estimate covers."""
+    types = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
+    names = [c.split()[0] for c in PARAMS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(*r[:4], *estimate(*r[4:])) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    return sums.select(*GROUP, "n", "_start", "m", "sums", "products").mapInArrow(run, PARAMS)
+
+
+def moments() -> list[Column]:
+    """Sums and products of the columns of z."""
+    z = F.col("z")
+    return [*(F.sum(z[i]).alias(f"_s{i}") for i in range(DIMS)), *(F.sum(z[i] * z[j]).alias(f"_p{k}") for k, (i, j) in enumerate(PAIRS))]
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Counts and moments of parts as those of the whole."""
+    sums, products = F.array(*(F.sum(f"_s{i}") for i in range(DIMS))), F.array(*(F.sum(f"_p{k}") for k in range(len(PAIRS))))
+    return rows.groupBy(*GROUP, "n", "_start").agg(F.sum("_k").alias("m"), sums.alias("sums"), products.alias("products"))
 
 
 def medians(rows: DataFrame) -> DataFrame:
@@ -150,32 +181,59 @@ def as_vector(values: DataFrame, name: str) -> DataFrame:
     return values.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_v"))), lambda s: s["_v"]).alias(name))
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """(GROUP, n, mean, inverse) of every group of stats (GROUP, z)."""
-    sizes = cut(stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
-    rows = stats.select(*GROUP, "z")
+def drawn_starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """PARAMS of DRAWN small subsets of each group; a group from which a hash draws nothing lacks that start."""
+    found = hot_safe_lookup(rows, sizes, GROUP, "n", F.xxhash64("z")).withColumn("_start", F.explode(F.array(*(F.lit(k + 1) for k in range(DRAWN)))))
+    found = found.filter(F.pmod(F.xxhash64("z", "_start"), F.greatest(F.lit(1), F.expr(f"n div {DRAWN_ROWS}"))) == 0)
+    return estimated(summed(found.groupBy(*GROUP, "n", "_start").agg(F.count(F.lit(1)).alias("_k"), *moments())))
+
+
+def median_start(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """PARAMS (start 0) of medians and median deviations."""
     centre = cut(sizes.join(as_vector(medians(rows.select(*GROUP, F.posexplode("z").alias("_d", "_v"))), "mean"), list(GROUP)))
     spread = hot_safe_lookup(rows, centre, GROUP, "n", F.xxhash64("z")).select(*GROUP, F.posexplode(F.zip_with("z", "mean", lambda a, b: F.abs(a - b))).alias("_d", "_v"))
-    spread = as_vector(medians(spread), "_mad")
-    first = centre.join(spread, list(GROUP))
+    first = centre.join(as_vector(medians(spread), "_mad"), list(GROUP))
     diagonal = [1 / (F.pow(F.col("_mad")[i] * 1.4826, 2) + float(FLOOR[i] ** 2)) if i == j else F.lit(0.0) for i, j in PAIRS]
-    params = cut(first.select(*GROUP, "n", "mean", F.array(*diagonal).alias("inverse")))
-    for _ in range(STEPS):
-        far = hot_safe_lookup(rows, params, GROUP, "n", F.xxhash64("z"))
-        far = far.withColumn("_bin", F.least(F.floor(distance2(F.col("z"), F.col("mean"), F.col("inverse")) * 256), F.lit(1 << 20)))
-        by = Window.partitionBy(*GROUP).orderBy("_bin")  # 2**20 bins a group at most
-        bins = far.groupBy(*GROUP, "_bin", "n").agg(F.count(F.lit(1)).alias("_k"), *(F.sum(F.col("z")[i]).alias(f"_s{i}") for i in range(DIMS)), *(F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"_p{k}") for k, (i, j) in enumerate(PAIRS)))
-        near = cut(bins).withColumn("_before", F.sum("_k").over(by) - F.col("_k")).filter(F.col("_before") < F.ceil(F.col("n") * COVER))
-        sums = near.groupBy(*GROUP, "n").agg(F.sum("_k").alias("m"), F.array(*(F.sum(f"_s{i}") for i in range(DIMS))).alias("sums"), F.array(*(F.sum(f"_p{k}") for k in range(len(PAIRS)))).alias("products"))
-        params = cut(sums.mapInPandas(inverted, PARAMS))
-    return params
+    return first.select(*GROUP, "n", F.lit(0).alias("_start"), "mean", F.array(*diagonal).alias("inverse"), F.lit(0.0).alias("logdet"))
+
+
+def concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """PARAMS of the rows nearest to each of params."""
+    starts = params.groupBy(*GROUP, "n").agg(F.collect_list(F.struct("_start", "mean", "inverse")).alias("_to"))
+    far = hot_safe_lookup(rows, starts, GROUP, "n", F.xxhash64("z")).select(*GROUP, "z", "n", F.inline("_to"))
+    far = far.withColumn("_bin", bin_of(distance2(F.col("z"), F.col("mean"), F.col("inverse"))))
+    by = Window.partitionBy(*GROUP, "_start").orderBy("_bin")  # bounded by the number of bins
+    bins = far.groupBy(*GROUP, "n", "_start", "_bin").agg(F.count(F.lit(1)).alias("_k"), *moments())
+    near = cut(bins).withColumn("_before", F.sum("_k").over(by) - F.col("_k")).filter(F.col("_before") < F.ceil(F.col("n") * COVER))
+    return estimated(summed(near))
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """(GROUP, n, mean, inverse, logdet) of every group of stats (GROUP, z): the least determinant that was found."""
+    sizes = cut(stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
+    rows = stats.select(*GROUP, "z")
+    keys, fields = [*GROUP, "n", "_start"], ("mean", "inverse", "logdet")
+    # The first values are no estimates that cover COVER, so their determinants don't count.
+    state = median_start(rows, sizes).unionByName(drawn_starts(rows, sizes)).withColumns({"logdet": F.lit(float("inf")), "_open": F.lit(True)})
+    state = cut(state)
+    for step in range(1, ROUNDS + 1):
+        new = concentrated(rows, state.filter("_open")).select(*keys, F.struct(*fields).alias("_new"))
+        better = F.col("_new.logdet") < F.col("logdet")
+        fell = F.col("_new.logdet") < F.col("logdet") - SETTLED
+        state = state.join(new, keys, "left").withColumns({"_better": F.coalesce(better, F.lit(False)), "_open": F.coalesce(fell, F.lit(False))})
+        state = state.select(*keys, *(F.when(F.col("_better"), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in fields), "_open")
+        if step == FIRST_STEPS:
+            best = Window.partitionBy(*GROUP).orderBy("logdet", "_start")  # DRAWN + 1 rows
+            state = state.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+        state = cut(state)
+        if step >= FIRST_STEPS and state.filter("_open").isEmpty():
+            return state.select(*GROUP, "n", *fields)
+    raise RuntimeError(f"determinants did not settle in {ROUNDS} steps")
 
 
 def is_outlier(z: Column, mean: Column, inverse: Column) -> Column:
-    """Beyond the cut-off, in the distance of the deviations on the bad side alone; false for rows of no group, which fail the limits."""
-    bad = F.array(z[0], *(F.greatest(z[i], mean[i]) for i in range(1, DIMS)))
-    limit = chi2_quantile(1 - TAIL, DIMS)
-    return F.coalesce((distance2(z, mean, inverse) > limit) & (distance2(bad, mean, inverse) > limit), F.lit(False))
+    """Beyond the cut-off in Mahalanobis distance; false for rows of no group, which fail the limits."""
+    return F.coalesce(distance2(z, mean, inverse) > chi2_quantile(1 - TAIL, DIMS), F.lit(False))
 
 
 def pools(passed: DataFrame) -> tuple[DataFrame, bool]:

@@ -46,7 +46,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit, fit_chars; with ``prefixes`` also prefix_tokens.
 
-    n_tokens is the sentencepiece model's count without begin or end tokens. fit_chars is the length in characters of
+    n_tokens is the sentencepiece model's count without begin or end tokens; it and fit_chars are read from the counts
+    that the dynamic program stores for every prefix of every piece. fit_chars is the length in characters of
     the longest prefix that has no more than ``limit`` tokens. prefix_tokens[k] is the count of the first k characters.
     A null text counts as empty; a null id stays null; repeated rows are counted each; an empty table gives no rows.
     Other columns are ignored.
@@ -59,8 +60,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
         counter = piece_counter(path)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [counter.total(t) for t in texts]
-            columns = [batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array([len(t) if n <= limit else counter.fit(t, limit) for t, n in zip(texts, counts, strict=True)], pa.int64())]
+            found = [counter.measure(t, limit) for t in texts]
+            counts = [n for n, _ in found]
+            columns = [batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array([k for _, k in found], pa.int64())]
             if prefixes:
                 columns.append(pa.array([counter.prefix_counts(t) for t in texts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens"][: len(columns)])

@@ -437,18 +437,36 @@ def test_outliers_against_brute_force(spark, lookup_rows):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [k for k, v in got.items() if v]
     z = np.array([quality.counts(t)[1] for _, t, *_ in rows])
-    mean = np.quantile(z, 0.5, axis=0, method="inverted_cdf")
-    cov = np.diag((np.quantile(abs(z - mean), 0.5, axis=0, method="inverted_cdf") * 1.4826) ** 2)
     h = int(np.ceil(len(z) * quality.COVER))
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov + np.diag(quality.FLOOR**2)), z - mean)
-        near = np.floor(d * 256) <= np.sort(np.floor(d * 256))[h - 1]
-        mean, cov = z[near].mean(axis=0), np.cov(z[near].T, bias=True) * quality.consistency()
-        if _ == 0:
-            cov0 = cov
+
+    def bins(d):
+        return np.where(d < 4096, np.floor(d * 256), (1 << 20) + np.floor(np.log(np.maximum(d, 1) / 4096) * 4096))
+
+    def step(mean, inverse):
+        d = bins(np.einsum("ij,jk,ik->i", z - mean, inverse, z - mean))
+        near = z[d <= np.sort(d)[h - 1]]
+        cov = np.cov(near.T, bias=True) * quality.consistency() + np.diag(quality.FLOOR**2)
+        return near.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def settled(mean, inverse):
+        last = np.inf
+        while True:
+            mean, inverse, now = step(mean, inverse)
+            if now >= last - 1e-9:
+                return last
+            last = now
+
     params = quality.judged(df)[2].first()
-    inv = np.linalg.inv(cov + np.diag(quality.FLOOR**2))
-    assert np.allclose(params["mean"], mean) and np.allclose(params["inverse"], [inv[i, j] * (1 + (i != j)) for i, j in quality.PAIRS]) and cov0.shape == (5, 5)
+    full = np.zeros((5, 5))
+    for k, (i, j) in enumerate(quality.PAIRS):
+        full[i, j] = full[j, i] = params["inverse"][k] / (1 + (i != j))
+    assert step(np.array(params["mean"]), full)[2] >= params["logdet"] - 1e-5  # another step finds nothing better
+    assert abs(-np.linalg.slogdet(full)[1] - params["logdet"]) < 1e-9
+    r = np.random.default_rng(1)
+    for _ in range(30):
+        some = z[r.choice(len(z), 12, replace=False)]
+        other = settled(some.mean(axis=0), np.linalg.inv(np.cov(some.T, bias=True) + np.diag(quality.FLOOR**2)))
+        assert params["logdet"] <= other + 1e-3
 
 
 def test_small_groups_are_judged(spark, lookup_rows):
