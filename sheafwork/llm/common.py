@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return "/tmp/checkpoints"
@@ -64,14 +66,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hot_safe_lookup(facts: DataFrame, dims: DataFrame, keys: Sequence[str], weight: str, spread: Column) -> DataFrame:
+def hot_safe_lookup(facts: DataFrame, dims: DataFrame, keys: Sequence[str], weight: str, spread: Column, most: int | None = None) -> DataFrame:
     """Left join of facts to dims, which has one row a key (no null keys) and in ``weight`` the key's rows among facts.
 
-    A table of BROADCAST_ROWS or fewer is broadcast. Beyond that, keys with more than one row in HOT_KEYS, at most HOT_KEYS of them, come from a broadcast table; their rows are
-    dealt out over the other join's partitions by ``spread``, so that no task gathers a hot key. dims is read three
-    times and should be a checkpoint.
+    A table of BROADCAST_ROWS or fewer is broadcast; ``most`` is a number that dims is known not to exceed, if there is
+    one. Beyond that, keys with more than one row in HOT_KEYS, at most HOT_KEYS of them, come from a broadcast table;
+    their rows are dealt out over the other join's partitions by ``spread``, so that no task gathers a hot key. Both
+    sides of that join are plain exchanges, so AQE splits what partitions of lesser keys still weigh too much. dims is
+    read three times and should be a checkpoint.
     """
     rest = [c for c in dims.columns if c not in keys]
+    if most is not None and most <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(dims), list(keys), "left").select(*facts.columns, *rest)
     rows, total = dims.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(dims), list(keys), "left").select(*facts.columns, *rest)

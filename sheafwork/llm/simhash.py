@@ -1,13 +1,14 @@
 """SimHash near-dedup with BK-trees.
 
-Documents become fingerprints; equal fingerprints are one node. Nodes meet in shards, and each shard has BK-trees
+Documents become fingerprints; equal fingerprints are one node. Nodes meet in shards, and each shard has a BK-tree
 (children keyed by their Hamming distance to the parent; a search follows only the edges within the radius). Each node
-links to what its shard's trees hold within the radius; a shard gives a spanning forest of its links, never all pairs.
+links to what its shard's tree holds within the radius; a shard gives a spanning forest of its links, never all pairs.
 Components of the forest come from rounds of joins (components.py's stars), with a checkpoint each.
 
 Shards of 64-bit fingerprints: cut into radius + 2 blocks, two fingerprints within the radius agree in two blocks at
-least; so each pair of blocks and their values is a shard, and no link is lost. Shards come sorted and streamed; one
-with more than TREE nodes is cut into pieces whose trees every later piece searches, so that no task holds it whole.
+least; so each pair of blocks and their values is a shard, and no link is lost. The bits that a shard leaves open are
+cut in the same way if it has more than TREE nodes, until FREE_BITS or fewer are open: so a tree has 2**FREE_BITS
+nodes at most, however many documents share their bits.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import cut, documents, hot_safe_lookup, small_batches
 from .components import component_labels
 
-#: Nodes of one tree.
-TREE = 20_000
+#: Shards with more nodes are cut again, if they leave more than FREE_BITS bits open.
+TREE, FREE_BITS = 20_000, 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -102,63 +103,83 @@ class Forest:
         return i != j
 
 
-def shard_links(values: list[int], names: list, roles: list[int], radius: int) -> Iterator[tuple]:
-    """Links (name, name) of one shard or piece: role 0 are its nodes, role 1 only search its tree. A spanning forest.
+class Shard:
+    """The tree of one shard, and the parts that its links make."""
 
-    Once a node is linked and all of the tree is one part, further links of it would join nothing: its search ends.
-    """
-    tree, forest, parts = BkTree(), Forest(), 0
-    for i, (value, role) in enumerate(zip(values, roles, strict=True)):
-        forest.up.append(i)
-        joined = 0
-        for j, _ in tree.within(value, radius):
-            if forest.join(i, j):
+    def __init__(self, radius: int) -> None:
+        self.tree, self.forest, self.parts, self.radius, self.names = BkTree(), Forest(), 0, radius, []
+
+    def links(self, value: int, name) -> Iterator[tuple]:
+        """Links (name, name) of a new node that join parts: with those of all nodes, a spanning forest.
+
+        Once the node is linked and all of the tree is one part, further links of it would join nothing: its search ends.
+        """
+        i, joined = len(self.names), 0
+        self.forest.up.append(i)
+        self.names.append(name)
+        for j, _ in self.tree.within(value, self.radius):
+            if self.forest.join(i, j):
                 joined += 1
-                yield names[j], names[i]
-            if joined and parts - joined == 0:
+                yield self.names[j], name
+            if joined and self.parts == joined:
                 break
-        parts -= max(0, joined - 1)
-        if role == 0:
-            tree.add(value, i)
-            parts += not joined
+        self.parts += 1 - joined
+        self.tree.add(value, i)
 
 
-def near_links(sharded: DataFrame, radius: int, name_type: str = "bigint") -> DataFrame:
-    """(_a, _b): links between names, from rows (_shard, _name, _bits: binary fingerprint); without _bits the name is it."""
-    if "_bits" not in sharded.columns:
-        links = near_links(sharded.withColumn("_bits", F.col("_name")), radius, "binary")
-        return links
-    by = Window.partitionBy("_shard")
-    rows = sharded.withColumns({"_n": F.count(F.lit(1)).over(by), "_r": F.row_number().over(by.orderBy("_name")) - 1}).filter("_n > 1")
-    rows = rows.withColumns({"_piece": F.expr(f"_r div {TREE}"), "_pieces": F.expr(f"(_n + {TREE - 1}) div {TREE}")})
-    small = rows.filter("_pieces = 1").select("_shard", F.lit(0).cast("long").alias("_tree"), F.lit(0).alias("_role"), "_name", "_bits")
-    # Each node of a large shard goes to its own piece and searches those before it.
-    large = rows.filter("_pieces > 1").select("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_piece"))).alias("_tree"), "_piece", "_name", "_bits")
-    large = large.select("_shard", "_tree", F.when(F.col("_tree") == F.col("_piece"), 0).otherwise(1).alias("_role"), "_name", "_bits")
+def tree_links(sharded: DataFrame, radius: int) -> DataFrame:
+    """(_a, _b): links between the names of each shard, from rows (_k, _key, _name: fingerprint) with few nodes a shard."""
+    kind = dict(sharded.dtypes)["_name"]
+    by = Window.partitionBy("_k", "_key")
+    rows = sharded.withColumn("_n", F.count(F.lit(1)).over(by)).filter("_n > 1").select("_k", "_key", "_name")
+    types = {"bigint": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, values, names, roles, found = None, [], [], [], []
+        key, shard = None, Shard(radius)
         for batch in batches:
-            for shard, tree, role, name, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (shard, tree) != key:
-                    if len(values) > 1:
-                        found += shard_links(values, names, roles, radius)
-                    key, values, names, roles = (shard, tree), [], [], []
-                values.append(int.from_bytes(bits, "big"))
-                names.append(name)
-                roles.append(role)
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_pylist([{"_a": a, "_b": b} for a, b in found])
-                found = []
-        if len(values) > 1:
-            found += shard_links(values, names, roles, radius)
-        if found:
-            yield pa.RecordBatch.from_pylist([{"_a": a, "_b": b} for a, b in found])
-
-    def stream(df: DataFrame) -> DataFrame:
-        return df.sortWithinPartitions("_shard", "_tree", "_role", "_name").mapInArrow(run, f"_a {name_type}, _b {name_type}")
-
-    return stream(small).unionByName(stream(large.repartition("_shard", "_tree")))
+            found = []
+            for k, at, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, at) != key:
+                    key, shard = (k, at), Shard(radius)
+                found += shard.links(int.from_bytes(name, "big") if kind == "binary" else name & (1 << 64) - 1, name)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[kind]) for c in zip(*found, strict=True)], names=["_a", "_b"])
+
+    return rows.sortWithinPartitions("_k", "_key", "_name").mapInArrow(run, f"_a {kind}, _b {kind}")
+
+
+def shard_levels(radius: int) -> Iterator[list[tuple[int, int]]]:
+    """For each level of shards, (place of its parent in the level before, mask of the bits that agree)."""
+    masks = [0]
+    while max(64 - m.bit_count() for m in masks) > FREE_BITS:
+        level = []
+        for parent, mask in enumerate(masks):
+            free = [k for k in range(64) if not mask >> k & 1]
+            n = radius + 2
+            edges = [len(free) * i // n for i in range(n + 1)]
+            blocks = [sum(1 << k for k in free[edges[i] : edges[i + 1]]) for i in range(n)]
+            level += [(parent, mask | x | y) for x, y in combinations(blocks, 2)]
+        yield level
+        masks = [m for _, m in level]
+
+
+def near_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(_a, _b): a spanning forest of the nodes (_fp, each once) that differ in ``radius`` bits or fewer."""
+    signed = lambda m: F.lit(m - (m >> 63 << 64))
+    rows, out = nodes.select("_fp", F.lit(0).alias("_k")), None
+    for level in shard_levels(radius):
+        keys = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(k).alias("_k"), F.col("_fp").bitwiseAND(signed(m)).alias("_key")) for k, (p, m) in enumerate(level)))
+        rows = rows.select(F.col("_fp").alias("_name"), F.inline(F.filter(keys, lambda s: s["p"] == F.col("_k")))).select("_k", "_key", "_name")
+        deepest = max(64 - m.bit_count() for _, m in level) <= FREE_BITS
+        large = None if deepest else cut(rows.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > {TREE}"))
+        if large is None or large.isEmpty():
+            links = tree_links(rows, radius)
+            return out.unionByName(links) if out else links
+        rows = hot_safe_lookup(rows, large, ["_k", "_key"], "_n", F.col("_name"))
+        links = tree_links(rows.filter("_n IS NULL").drop("_n"), radius)
+        out = out.unionByName(links) if out else links
+        rows = rows.filter("_n IS NOT NULL").select(F.col("_name").alias("_fp"), "_k")
+    raise AssertionError("the deepest level ends the loop")
 
 
 def fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,15 +195,6 @@ def fingerprints(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, _fp bigint")
 
 
-def pigeonhole_shards(nodes: DataFrame, radius: int) -> DataFrame:
-    """(_shard, _name, _bits) of 64-bit nodes _fp: for each pair of the radius + 2 blocks, both values."""
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    block = [F.shiftrightunsigned(F.shiftleft(F.col("_fp"), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]) for i in range(n)]
-    keys = [F.struct(F.lit(k).alias("k"), block[i].alias("x"), block[j].alias("y")) for k, (i, j) in enumerate(combinations(range(n), 2))]
-    return nodes.select(F.explode(F.array(*keys)).alias("_shard"), F.col("_fp").alias("_name"), F.unhex(F.lpad(F.hex("_fp"), 16, "0")).alias("_bits"))
-
-
 def with_components(prints: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """prints (_id, _fp) with _component, the smallest id of the nodes that links join."""
     named = nodes.join(labels, nodes["_fp"] == labels["_node"], "left").select("_fp", "_least", "_n", F.coalesce("_root", "_fp").alias("_root"))
@@ -200,8 +212,8 @@ def simhash_components(docs: DataFrame, n: int = 5, radius: int = 2, id_col: str
     """
     prints = cut(fingerprints(docs, n, id_col, text_col))
     nodes = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
-    links = near_links(pigeonhole_shards(nodes, radius), radius)
-    labels = component_labels(cut(links.distinct()))  # (_node, _root) of linked nodes
+    links = near_links(nodes, radius)
+    labels = component_labels(links)  # (_node, _root) of linked nodes
     out = with_components(prints, nodes, labels)
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
@@ -215,6 +227,8 @@ WIDE, WIDE_RADIUS = 512, 110
 KEYS, KEY_SIZE = 16, 4
 #: Shingles of one piece of a candidate group (with NODE for each set), and positions of the bitmap of candidates' texts.
 PIECE, NODE = 4_000_000, 100
+#: Sets of a group that all of its pieces search (about).
+PIVOTS = 16
 BITMAP, BUCKET = 1 << 23, 1 << 15
 
 
@@ -266,9 +280,10 @@ class Verified:
         self.sets: list[np.ndarray] = []
         self.bits = np.empty((64, WIDE // 64), np.uint64)
         self.sizes, self.parts = np.empty(64, np.int64), np.empty(64, np.int64)
+        self.first: dict[bytes, int] = {}
 
-    def links(self, name: bytes, role: int, bits: bytes, hashes: np.ndarray) -> Iterator[tuple]:
-        """Links of a node, one to each part that has a near copy of it, nearest fingerprints first; role 1 only searches."""
+    def links(self, name: bytes, bits: bytes, hashes: np.ndarray, hold: bool) -> Iterator[tuple]:
+        """Links of a node, one to each part that has a near copy of it, nearest fingerprints first; then it is held, or not."""
         n, row, size = len(self.names), np.frombuffer(bits, np.uint64), len(hashes)
         far = np.bitwise_count(self.bits[:n] ^ row).sum(axis=1, dtype=np.int64)
         sizes, parts = self.sizes[:n], self.parts[:n]
@@ -284,32 +299,76 @@ class Verified:
                 else:
                     parts[parts == old] = part
                 left = left[parts[left] != part]
-        if role == 0:
-            if n == len(self.sizes):
-                self.bits, self.sizes, self.parts = np.concatenate([self.bits, self.bits]), np.tile(self.sizes, 2), np.tile(self.parts, 2)
-            self.names.append(name)
-            self.sets.append(hashes)
-            self.bits[n], self.sizes[n], self.parts[n] = row, size, part
+        if hold:
+            self.hold(name, row, hashes, part)
+
+    def hold(self, name: bytes, row: np.ndarray, hashes: np.ndarray, part: int) -> None:
+        n = len(self.names)
+        if n == len(self.sizes):
+            self.bits, self.sizes, self.parts = np.concatenate([self.bits, self.bits]), np.tile(self.sizes, 2), np.tile(self.parts, 2)
+        self.names.append(name)
+        self.sets.append(hashes)
+        self.bits[n], self.sizes[n], self.parts[n] = row, len(hashes), part
+
+    def known(self, name: bytes, bits: bytes, hashes: np.ndarray, component: bytes) -> None:
+        """Holds a node whose part is known, without a search."""
+        self.hold(name, np.frombuffer(bits, np.uint64), hashes, self.first.setdefault(component, len(self.names)))
 
 
 def verified_links(pieces: DataFrame) -> DataFrame:
-    """(_a, _b): a spanning forest of the near copies in each group of rows (_root, _tree, _role, _name, _fp, _set)."""
+    """(_a, _b): links that span the near copies in each piece of rows (_root, _tree, _role, _name, _fp, _set, _part).
+
+    Role 0 searches the piece and is held in it, or only held if its _part is known; role 1 only searches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, Verified(), []
+        key, held = None, Verified()
         for batch in batches:
-            for root, tree, role, name, bits, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = []
+            for root, tree, role, name, bits, data, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root, tree) != key:
                     key, held = (root, tree), Verified()
-                found += held.links(name, role, bits, np.frombuffer(data, np.uint64))
+                hashes = np.frombuffer(data, np.uint64)
+                if part is None or role:
+                    found += held.links(name, bits, hashes, role == 0)
+                else:
+                    held.known(name, bits, hashes, part)
             if found:
                 yield pa.RecordBatch.from_pylist([{"_a": a, "_b": b} for a, b in found])
-                found = []
 
-    rows = pieces.select("_root", "_tree", "_role", "_name", "_fp", "_set").repartition("_root", "_tree")
+    rows = pieces.select("_root", "_tree", "_role", "_name", "_fp", "_set", "_part").repartition("_root", "_tree")
     return rows.sortWithinPartitions("_root", "_tree", "_role", "_name").mapInArrow(run, "_a binary, _b binary")
 
 
+def group_links(docs: DataFrame, named: DataFrame, n: int, text_col: str) -> DataFrame:
+    """(_a, _b): links that span the near copies in each candidate group of named (_name, _copy, _size, _fp, _root).
+
+    A group with many shingles is cut into pieces. First each piece is searched on its own, together with some PIVOTS
+    sets of the group, which tie the pieces' parts to one another. Whatever is then in the largest part of a group needs
+    no search for others of it; only the rest searches the other pieces.
+    """
+    sizes = cut(named.groupBy("_root").agg(F.count(F.lit(1)).alias("_nodes"), F.sum(F.col("_size") + NODE).alias("_weight")).filter("_nodes > 1"))
+    members = hot_safe_lookup(named, sizes, ["_root"], "_nodes", F.xxhash64("_name")).filter("_nodes IS NOT NULL")
+    members = members.withColumn("_pieces", F.expr(f"(_weight + {PIECE - 1}) div {PIECE}"))
+    members = cut(members.withColumn("_piece", F.pmod(F.xxhash64("_name"), F.col("_pieces"))).select("_copy", "_root", "_piece", "_pieces", "_nodes", "_name", "_fp"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)
+    pivot = (F.col("_pieces") > 1) & (F.pmod(F.xxhash64("_name", F.lit(1)), F.greatest(F.lit(1), F.expr(f"_nodes div {PIVOTS}"))) == 0)
+    first = candidate_sets(docs, members, n, text_col).withColumn("_tree", F.explode(F.when(pivot, every).otherwise(F.array("_piece"))))
+    links = cut(verified_links(first.withColumns({"_role": F.lit(0), "_part": F.lit(None).cast("binary")})).distinct())
+    cut_up = members.filter("_pieces > 1")
+    if cut_up.isEmpty():
+        return links
+    labels = component_labels(links)
+    parts = cut(cut_up.join(labels, cut_up["_name"] == labels["_node"], "left").select(*(cut_up[c] for c in cut_up.columns), F.coalesce(labels["_root"], "_name").alias("_part")))
+    tally = parts.groupBy("_root", "_nodes", "_part").agg(F.count(F.lit(1)).alias("_k"))
+    largest = cut(tally.groupBy("_root").agg(F.first("_nodes").alias("_all"), F.max_by("_part", "_k").alias("_most")))
+    rows = cut(hot_safe_lookup(parts, largest, ["_root"], "_all", F.xxhash64("_name")))
+    to = F.when(F.col("_part") == F.col("_most"), F.array("_piece")).otherwise(every)
+    again = candidate_sets(docs, rows, n, text_col).withColumn("_tree", F.explode(to))
+    more = verified_links(again.withColumn("_role", F.when(F.col("_tree") == F.col("_piece"), 0).otherwise(1)))
+    return cut(links.unionByName(more).distinct())
+
+
 def candidate_sets(docs: DataFrame, members: DataFrame, n: int, text_col: str) -> DataFrame:
     """members (_copy: the MD5 of a text, and others) with _set, the shingles of the text, instead of _copy.
 
@@ -337,6 +396,19 @@ def candidate_sets(docs: DataFrame, members: DataFrame, n: int, text_col: str) -
     return texts.join(members, "_copy").select("_text", *rest).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "_set binary"]))
 
 
+def candidate_links(shards: DataFrame) -> DataFrame:
+    """(_a, _b): links that join the wide fingerprints _name of each shard (_k, _key) that may be near copies.
+
+    Those of a shard's tree; a shard of more than TREE nodes is one group as it stands, as verification decides.
+    """
+    sizes = cut(shards.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_b")).filter(f"_n > {TREE}"))
+    if sizes.isEmpty():
+        return tree_links(shards, WIDE_RADIUS).distinct()
+    met = hot_safe_lookup(shards, sizes, ["_k", "_key"], "_n", F.xxhash64("_name"))
+    trees = tree_links(met.filter("_n IS NULL").select("_k", "_key", "_name"), WIDE_RADIUS)
+    return trees.unionByName(met.filter("_n IS NOT NULL").select(F.col("_name").alias("_a"), "_b")).distinct()
+
+
 def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and component_id, the smallest id that chains of near copies reach: shingles of n words, similarity 0.8 or more.
 
@@ -344,8 +416,7 @@ def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     agree and trees visit all nodes. So the fingerprint is wider, and the shards of the trees come from minwise keys of
     the same shingles: two documents with a similarity of 0.8 share a shard with a probability of 0.9998. Links of the
     trees only give groups of candidates: no near copies that share a shard are in different groups. The sets of each
-    group meet, and links that span its near copies are those whose similarity, counted exactly, is 0.8 or more; a
-    group with many shingles is cut into pieces that every later piece searches. Nulls, empty texts, repeated rows and
+    group meet, and links that span its near copies are those whose similarity, counted exactly, is 0.8 or more. Nulls, empty texts, repeated rows and
     other columns are treated as in simhash_components.
     """
     small_batches(docs.sparkSession)
@@ -365,19 +436,12 @@ def near_classes(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     texts = texts.select("_id", F.unhex(F.md5("_text")).alias("_copy"), "_text")
     sketches = cut(texts.mapInArrow(run, f"_id {kind}, _copy binary, _name binary, _size bigint, _fp binary, _keys array<bigint>"))
-    shards = sketches.select(F.col("_fp").alias("_name"), F.posexplode("_keys").alias("_k", "_key")).select(F.struct("_k", "_key").alias("_shard"), "_name")
-    groups = component_labels(cut(near_links(shards, WIDE_RADIUS).distinct()))
+    shards = sketches.select(F.col("_fp").alias("_name"), F.posexplode("_keys").alias("_k", "_key")).distinct()
+    groups = component_labels(candidate_links(shards))
     nodes = cut(sketches.groupBy("_name").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("_copy").alias("_copy"), F.min("_size").alias("_size"), F.min("_fp").alias("_fp")))
     named = nodes.join(groups, nodes["_fp"] == groups["_node"], "left")
     named = cut(named.select("_name", "_copy", "_size", "_fp", F.coalesce("_root", "_fp").alias("_root")))
-    sizes = cut(named.groupBy("_root").agg(F.count(F.lit(1)).alias("_nodes"), F.sum(F.col("_size") + NODE).alias("_weight")).filter("_nodes > 1"))
-    members = hot_safe_lookup(named, sizes, ["_root"], "_nodes", F.xxhash64("_name")).filter("_nodes IS NOT NULL")
-    members = members.withColumn("_piece", F.pmod(F.xxhash64("_name"), F.expr(f"(_weight + {PIECE - 1}) div {PIECE}")))
-    members = cut(members.select("_copy", "_root", "_piece", "_name", "_fp"))
-    # Each set of a large group goes to its own piece and searches those before it.
-    pieces = candidate_sets(docs, members, n, text_col).withColumn("_tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_piece"))))
-    links = verified_links(pieces.withColumn("_role", F.when(F.col("_tree") == F.col("_piece"), 0).otherwise(1)))
-    labels = component_labels(cut(links.distinct()))
+    labels = component_labels(group_links(docs, named, n, text_col))
     found = with_components(sketches.select("_id", F.col("_name").alias("_fp")), nodes.select(F.col("_name").alias("_fp"), "_least", "_n"), labels)
     return found.select(F.col("_id").alias(id_col), F.col("_component").alias("component_id"))
 
