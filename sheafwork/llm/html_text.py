@@ -3,8 +3,11 @@
 The builder turns tags into a well-formed sequence of openings and closings: paragraphs, list items, cells, rows and
 the like end where the next one's start implies it; end tags without a start are dropped, those of outer elements end
 the inner ones. The renderer writes all visible text: blocks on lines of their own, paragraphs and headings apart by
-an empty line, lists with marks and indents, preformatted text as it is, table cells in aligned columns. Both work
-on an explicit stack, so depth is no limit; time and memory are in proportion to the page.
+an empty line, lists with marks and indents, preformatted text as it is, table cells in aligned columns (with
+colspan and rowspan). Both work on an explicit stack, so depth is no limit. A cell of more than WIDE columns is no
+measure for its table, and a row that would need more padding than PADDED times its text has its cells one below the
+other: so time and memory are in proportion to the page. Not shown: what browsers never show (scripts, heads, the
+fallback of object, audio, video and canvas), what styles or attributes hide, and closed details but their summary.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from .common import pages, small_batches
 # Kinds of elements as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option section summary table tbody td tfoot th thead tr ul caption".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr xmp listing".split())
 ENDS_P = BLOCK | APART
@@ -55,7 +59,12 @@ TAG = re.compile(
     re.S,
 )
 ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Columns of a cell beyond which it is no measure for others; padding of a row for each character of its text, and at least.
+WIDE, PADDED, PADDED_LEAST = 60, 4, 1000
+#: The largest numbers that the HTML standard takes.
+MOST_SPAN, MOST_ROWS = 1000, 65534
 BLANK = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -73,25 +82,25 @@ def unseen(tag: str, attrs: dict[str, str]) -> bool:
 def tree(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open", tag, attributes), ("close", tag, {}) and ("text", text, {}): balanced, in the order of the tree."""
     stack: list[str] = []
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
     at, n = 0, len(source)
 
     def pop() -> tuple[str, str, dict[str, str]]:
         tag = stack.pop()
-        count[tag] -= 1
+        places[tag].pop()
         return "close", tag, {}
 
+    def nearest(tags) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=-1)
+
     def ended_by(tags, stops) -> int:
         """How many elements end with the outermost of tags above the nearest stop; 0 if there is none."""
-        if not any(count.get(t) for t in tags):
-            return 0
-        depth = 0
-        for k in range(1, len(stack) + 1):
-            if stack[-k] in stops:
-                break
-            if stack[-k] in tags:
-                depth = k
-        return depth
+        stop, found = nearest(stops), []
+        for t in tags:
+            at = places.get(t)
+            if at and at[-1] > stop:
+                found.append(at[bisect_right(at, stop)])
+        return len(stack) - min(found) if found else 0
 
     while at < n:
         found = source.find("<", at)
@@ -118,9 +127,9 @@ def tree(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             attrs = attributes(match["attrs"] or match["rest"] or "")
             if stack and stack[-1] == "head" and tag not in HEAD_ONLY and tag != "head":
                 yield pop()
-            if tag in ("html", "body", "head") and count.get(tag):
+            if tag in ("html", "body", "head") and places.get(tag):
                 continue
-            if tag in ENDS_P and count.get("p"):
+            if tag in ENDS_P and places.get("p"):
                 for _ in range(ended_by({"p"}, SCOPE | {"button", "object"})):
                     yield pop()
             if tag in IMPLIED:
@@ -138,27 +147,24 @@ def tree(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "close", tag, {}
                 at = end.end() if end else n
                 continue
+            places.setdefault(tag, []).append(len(stack))
             stack.append(tag)
-            count[tag] = count.get(tag, 0) + 1
         elif match["end"]:
             tag = match["end"].lower()
             if tag == "br":
                 yield "open", "br", {}
                 yield "close", "br", {}
-            elif tag == "p" and not count.get("p"):
+            elif tag == "p" and not places.get("p"):
                 yield "open", "p", {}
                 yield "close", "p", {}
             elif tag in ("html", "body"):
                 pass  # what follows still belongs to them
-            elif count.get(tag):
+            elif places.get(tag):
                 stops = SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") else {"table"} - {tag}
-                for k in range(1, len(stack) + 1):
-                    if stack[-k] == tag:
-                        for _ in range(k):
-                            yield pop()
-                        break
-                    if stack[-k] in stops:
-                        break
+                last = places[tag][-1]
+                if last > nearest(stops):
+                    for _ in range(len(stack) - last):
+                        yield pop()
     while stack:
         yield pop()
 
@@ -225,38 +231,99 @@ class Page:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells of lines, with the columns aligned and two spaces apart."""
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            width = max(map(columns, cell), default=0)
-            if k == len(widths):
-                widths.append(width)
-            elif width > widths[k]:
-                widths[k] = width
-    out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            parts = [c[k] if k < len(c) else "" for c in row]
-            out.append("  ".join(p + " " * (w - columns(p)) for p, w in zip(parts, widths, strict=False)).rstrip())
-    return out
+def span(attrs: dict[str, str], name: str, most: int) -> int:
+    found = re.match(r"\s*(\d{1,9})", attrs.get(name, ""))
+    return min(max(int(found[1]), 1), most) if found else 1
+
+
+class Table:
+    """Rows of (first column, columns, lines), with the columns that cells of earlier rows reach down into."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.column, self.open = 0, False
+        self.down: list[tuple[int, int, int]] = []  # first column, past the last, past the last row
+
+    def row(self) -> None:
+        self.open = False
+
+    def cell(self, lines: list[str], attrs: dict[str, str]) -> None:
+        if not self.open:
+            self.rows.append([])
+            self.open, self.column = True, 0
+            self.down = sorted(d for d in self.down if d[2] >= len(self.rows))
+        n, rows = span(attrs, "colspan", MOST_SPAN), span(attrs, "rowspan", MOST_ROWS)
+        for first, past, _ in self.down:
+            if first <= self.column < past:
+                self.column = past
+            elif first > self.column:
+                break
+        self.rows[-1].append((self.column, n, lines))
+        if rows > 1:
+            self.down.append((self.column, self.column + n, len(self.rows) + rows - 1))
+            self.down.sort()
+        self.column += n
+
+    def lines(self) -> list[str]:
+        """The columns aligned, two spaces apart."""
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            for at, n, cell in row:
+                width = max((w for w in map(columns, cell) if w <= WIDE), default=0)
+                if n == 1 and width > widths.get(at, 0):
+                    widths[at] = width
+        starts, known = [0], sorted(widths)
+        for c in known:
+            starts.append(starts[-1] + widths[c])
+
+        def start(column: int) -> int:
+            """Where a column starts: the widths before it, and two spaces for each."""
+            return starts[bisect_right(known, column - 1)] + 2 * column
+
+        out = []
+        for row in self.rows:
+            height = max(len(cell) for _, _, cell in row)
+            text = sum(map(len, (line for _, _, cell in row for line in cell)))
+            padding = sum(start(max(at for at, _, cell in row if len(cell) > k)) for k in range(height)) if height * len(row) <= PADDED * text + PADDED_LEAST else None
+            if padding is None or padding > PADDED * text + PADDED_LEAST:
+                out += [line for _, _, cell in row for line in cell]
+                continue
+            for k in range(height):
+                parts, width = [], 0
+                for at, _, cell in row:
+                    if len(cell) <= k:
+                        continue
+                    gap = max(start(at) - width, 2 if parts else 0)
+                    parts += [" " * gap, cell[k]]
+                    width += gap + columns(cell[k])
+                out.append("".join(parts).rstrip())
+        return out
 
 
 def render(source: str) -> str:
     """All visible text of a page."""
     page, pages, tables, lists, closers = Page(), [], [], [], []
+    cells: list[dict[str, str]] = []
     hidden = pre = 0
+    seen = True  # by visibility, which inner elements may set again
     for kind, name, attrs in tree(source):
         if kind == "text":
-            if not hidden:
+            if not hidden and seen:
                 page.text(html.unescape(name), pre > 0)
             continue
         if kind == "open":
+            # A summary shows even where its details are closed.
+            shown = name == "summary" and closers and closers[-1][0] == "details" and closers[-1][3]
             gone = unseen(name, attrs)
-            closers.append((name, gone))
-            hidden += gone
+            closed = name == "details" and "open" not in attrs
+            change = gone - shown
+            was = seen
+            if found := VISIBILITY.search(attrs.get("style", "")):
+                seen = found[1].lower() == "visible"
+            closers.append((name, change + closed, was, closed))
+            hidden += change
             if hidden:
+                hidden += closed
                 continue
             if name == "br":
                 page.end(force=True)
@@ -282,15 +349,15 @@ def render(source: str) -> str:
                 page.indents.append("  ")
             elif name == "table":
                 page.apart()
-                tables.append([])
+                tables.append(Table())
                 pages.append(page)
                 page = Page()  # captions, and text between rows
             elif name == "tr":
                 page.end()
                 if tables:
-                    tables[-1].append(None)
-                    tables[-1].append([])
+                    tables[-1].row()
             elif name in ("td", "th") and tables:
+                cells.append(attrs)
                 pages.append(page)
                 page = Page()
             elif name in APART:
@@ -298,11 +365,15 @@ def render(source: str) -> str:
                 pre += name in ("pre", "listing", "xmp")
             elif name in BLOCK:
                 page.end()
+            hidden += closed
             continue
-        name, gone = closers.pop()
+        name, change, seen, closed = closers.pop()
+        if closed and hidden == 1:  # details that are shown, but closed
+            hidden, change = 0, 0
         if hidden:
-            hidden -= gone
+            hidden -= change
             continue
+        hidden -= change  # after a summary, its details are closed as before
         if name in ("ul", "ol", "menu"):
             page.end()
             page.mark = ""
@@ -320,12 +391,10 @@ def render(source: str) -> str:
             page.mark = ""
         elif name in ("td", "th") and tables:
             cell, page = page.finish(), pages.pop()
-            if not tables[-1] or tables[-1][-1] is None:
-                tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1].cell(cell, cells.pop())
         elif name == "table" and tables:
             around, page = page.finish(), pages.pop()
-            body = around + aligned([r for r in tables.pop() if r])
+            body = around + tables.pop().lines()
             page.apart()
             for line in body:
                 page.put(line)

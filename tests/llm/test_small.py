@@ -600,19 +600,63 @@ def test_rendering():
     assert html_text.render(page).split("\n") == ["Hi there", "", "onetwo three", "four", "", "five & six", "", "- a", "- b", " 3. c", " 4. d", "- e", "", "after", "", "Name       Qty", "apple pie  3", "日本       10", "", "x", "  y", "", "3 < 4 and ok"]
 
 
-@pytest.mark.parametrize(("page", "text"), [("", ""), (" \n ", ""), ("plain", "plain"), ("<", "<"), ("a<b", "a"), ("<p", ""), ("</p>x", "x"), ("<table><td>a<table><td>b</table><td>c", "a  c\n\nb"), ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<blockquote>q</blockquote>z", "  q\n\nz"), ("<!-- open", ""), ("<textarea><p>x</textarea>y", "y"), ("x<script>no", "x"), ("<a title='>'>k</a>", "k")])
+@pytest.mark.parametrize(("page", "text"), [("", ""), (" \n ", ""), ("plain", "plain"), ("<", "<"), ("a<b", "a"), ("<p", ""), ("</p>x", "x"), ("<table><td>a<table><td>b</table><td>c", "a  c\n\nb"), ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<blockquote>q</blockquote>z", "  q\n\nz"), ("<!-- open", ""), ("<textarea><p>x</textarea>y", "<p>xy"), ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>k", "yes\nk"), ("<details><summary>S</summary>no<p>no</details>z<details open><summary>T</summary>u</details>", "S\nz\nT\nu"), ("<div hidden><details><summary>S</summary>x</details></div>y", "y"), ("<svg><title>t</title><text>a</text></svg><math><mi>x</mi></math><select><option>b<option>c</select>", "ax\nb\nc"), ("x<script>no", "x"), ("<a title='>'>k</a>", "k")])
 def test_odd_pages(page, text):
     got = html_text.render(page)
     assert got == text
 
 
+def test_tables_against_a_dense_grid():
+    """Random cells with colspan and rowspan, placed cell by cell in a grid, against the renderer's lines."""
+    r = random.Random(12)
+    for _ in range(200):
+        grid, source, placed = defaultdict(bool), "<table>", []
+        rows = r.randint(1, 4)
+        for y in range(rows):
+            source, x = source + "<tr>", 0
+            for _ in range(r.randint(1, 4)):
+                while grid[y, x]:
+                    x += 1
+                wide, high, text = r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 2]), "".join(r.choice("abc") for _ in range(r.randint(1, 6)))
+                source += f"<td colspan={wide} rowspan={high}>{text}"
+                placed.append((y, x, wide, text))
+                for a in range(high):
+                    for b in range(wide):
+                        grid[y + a, x + b] = True
+                x += wide
+        width = defaultdict(int)
+        for _, x, wide, text in placed:
+            if wide == 1:
+                width[x] = max(width[x], len(text))
+        want = []
+        for y in range(rows):
+            line = ""
+            for _, x, _, text in sorted(c for c in placed if c[0] == y):
+                at = sum(width[k] + 2 for k in range(x))
+                line = (line + "  " if line else "").ljust(at) + text
+            want.append(line)
+        assert html_text.render(source + "</table>").split("\n") == want
+
+
+def test_cost_is_in_proportion():
+    import time
+
+    began = time.process_time()
+    html_text.render("<p><button>" + "<i>" * 8000 + "<div>" * 8000)
+    page = "<table><tr><td>" + "w" * 30_000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(html_text.render(page)) < 3 * len(page)
+    page = "<table><tr>" + "<td>" * 4000 + "x<br>" * 4000
+    assert len(html_text.render(page)) < 3 * len(page)
+    assert time.process_time() - began < 5
+
+
 def test_deep_and_hostile_pages():
     for page in ("<div>" * 50_000, "<p>" * 50_000, "<table>" * 2000, "<" * 50_000, '<a "' * 10_000, "<ul><li>" * 3000, "</div>" * 50_000, "<!" * 50_000):
         html_text.render(page)
 
 
 def test_extract_text(spark):
-    df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "x" * 300_000)], "page_id bigint, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "x" * 300_000)], "page_id bigint, html string").withColumns({c: F.lit("clash") for c in ("text", "_id", "_html", "n_chars")})
     out = sorted(((r.page_id, r.text) for r in html_text.extract_text(df).collect()), key=key)
     assert out == sorted([(1, "a"), (1, "a"), (None, ""), (2, "x" * 300_000)], key=key)
     assert html_text.extract_text(df.limit(0)).count() == 0
