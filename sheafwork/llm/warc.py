@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,9 +62,12 @@ def write_archives(rows: DataFrame, path: str, id_col: str, payload_col: str, ur
     revisit = F.col("_keeper").isNotNull() & ~F.col("_keeper").eqNullSafe(F.col("_id"))
     name = lambda c: F.concat(F.lit(f"<{RECORD}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     chunks = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("_size") / chunk))).cast("int")
-    rows = slim.withColumns({"_revisit": revisit, "_chunks": chunks}).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    part = F.expr(f"substring(_data, 1 + _k * {chunk}, {chunk})")
-    block = F.when(F.col("_revisit"), F.lit(HTTP).cast("binary")).when(F.col("_k") == 0, F.concat(F.lit(HTTP).cast("binary"), part)).otherwise(part)
+    # One array of slices, so that the rows which come of it hold their own bytes only.
+    slices = F.expr(f"IF(_revisit, array(X''), transform(sequence(0, _chunks - 1), k -> substring(_data, 1 + k * {chunk}, {chunk})))")
+    rows = slim.withColumns({"_revisit": revisit, "_chunks": chunks})
+    rows = rows.select("_id", "_url", "_size", "_sha1", "_keeper", "_revisit", "_chunks", F.posexplode(slices).alias("_k", "_part"))
+    part = F.col("_part")
+    block = F.when(F.col("_k") == 0, F.concat(F.lit(HTTP).cast("binary"), part)).otherwise(part)
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(END))
     many, last = F.col("_chunks") > 1, F.col("_k") == F.col("_chunks") - 1
     head = F.concat(
@@ -85,54 +89,86 @@ def write_archives(rows: DataFrame, path: str, id_col: str, payload_col: str, ur
 
 
 class ArchiveParser:
-    """Rows (id, record type, refers to, chunk number, bytes, last, length, digest) from an archive's lines, in order."""
+    """Rows (id, record type, refers to, chunk number, bytes, last, length, digest) from an archive's lines, in order.
+
+    Versions 1.0 and 1.1. Records that aren't responses, their continuations or revisits are passed over, as are
+    digests other than SHA-1 in base32 (nothing is checked then). ``end`` raises if the archive ends inside a record.
+    """
 
     def __init__(self) -> None:
         self.head: dict[str, str] | None = None
-        self.first = True
-        self.need, self.block, self.record = 0, bytearray(), None
+        self.need, self.block, self.record, self.body = 0, bytearray(), None, False
 
-    def feed(self, line: bytes):
-        """A line without its line feed; gives the row that it ends, if any."""
-        if self.head is None or self.need == 0:
+    def feed(self, line: bytes) -> Iterator[tuple]:
+        """A line without its line feed; gives the rows that it ends."""
+        if not self.need:
             text = line.rstrip(b"\r")
             if self.head is None:
-                if text != b"WARC/1.1":
+                if text and not re.fullmatch(rb"WARC/1\.[01]", text):
                     raise ValueError(f"a record was expected, not {bytes(text[:60])!r}")
-                self.head = {}
+                self.head = {} if text else None
             elif text:
                 key, _, value = text.decode("utf-8", "replace").partition(":")
                 self.head[key.strip().lower()] = value.strip()
             else:
                 self.need = int(self.head["content-length"]) + 4  # and two line ends
-            return None
-        self.block += line
-        self.block += b"\n"
-        self.need -= len(line) + 1
+                self.begin(self.head)
+            return
+        size = len(line) + 1
+        if self.body:
+            self.block += line
+            self.block += b"\n"
+            past = min(size, 4 - (self.need - size))  # bytes of the line ends after the block
+            if past > 0:
+                del self.block[-past:]
+        self.need -= size
         if self.need < 0:
             raise ValueError("a record is longer than it says")
-        if self.need:
-            return None
-        row = self.ended(self.head, bytes(self.block[:-4]))
-        self.head, self.block = None, bytearray()
-        return row
+        yield from self.rows(not self.need)
+        if not self.need:
+            self.head, self.block = None, bytearray()
+
+    def end(self) -> None:
+        if self.head is not None:
+            raise ValueError(f"the archive ends inside the record {self.head.get('warc-record-id')}")
 
-    def ended(self, head: dict[str, str], block: bytes):
-        kind = head["warc-type"]
-        if kind == "revisit":
-            digest = head["warc-payload-digest"].removeprefix("sha1:")
-            return self.number(head["warc-record-id"]), kind, self.number(head["warc-refers-to"]), 0, b"", True, None, digest
+    def begin(self, head: dict[str, str]) -> None:
+        kind = head.get("warc-type", "").lower()
+        self.body, self.skip = kind in ("response", "continuation") and (kind == "response" or self.record is not None), kind == "response"
         if kind == "response":
-            block = block[block.index(b"\r\n\r\n") + 4 :]
-            self.record = [self.number(head["warc-record-id"]), 0, hashlib.sha1(), 0, head["warc-payload-digest"].removeprefix("sha1:")]
+            digest = head.get("warc-payload-digest", "")
+            self.record = [self.number(head["warc-record-id"]), 0, hashlib.sha1(), 0, digest.removeprefix("sha1:").upper() if digest.startswith("sha1:") else None]
+            if "http" not in head.get("content-type", ""):
+                self.skip = False
+
+    def rows(self, done: bool) -> Iterator[tuple]:
+        head = self.head
+        if not self.body:
+            if done and head.get("warc-type", "").lower() == "revisit":
+                digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                yield self.number(head["warc-record-id"]), "revisit", self.number(head.get("warc-refers-to", "")), 0, b"", True, None, digest
+            return
+        if self.skip:  # the lines of HTTP before the payload
+            at = self.block.find(b"\r\n\r\n")
+            if at < 0 and not done:
+                return
+            del self.block[: at + 4 if at >= 0 else 0]
+            self.skip = False
+        while len(self.block) > CHUNK:
+            yield self.chunk(bytes(self.block[:CHUNK]), False)
+            del self.block[:CHUNK]
+        if done:
+            segmented = int(head.get("warc-segment-number", 0)) > 0 and "warc-segment-total-length" not in head
+            yield self.chunk(bytes(self.block), not segmented)
+
+    def chunk(self, data: bytes, last: bool) -> tuple:
         record = self.record
-        record[2].update(block)
-        record[3] += len(block)
-        done = "warc-segment-number" not in head or "warc-segment-total-length" in head
-        digest = base64.b32encode(record[2].digest()).decode() if done else None
-        if done and digest != record[4]:
+        record[2].update(data)
+        record[3] += len(data)
+        digest = base64.b32encode(record[2].digest()).decode() if last else None
+        if last and record[4] and len(record[4]) == len(digest) and digest != record[4]:
             raise ValueError(f"record {record[0]}: its payload has the digest {digest}, not {record[4]}")
-        row = record[0], "response", None, record[1], block, done, record[3], digest
+        row = record[0], "response", None, record[1], data, last, record[3], digest
         record[1] += 1
         return row
 
@@ -145,7 +181,10 @@ READ = "_id string, record_type string, _to string, chunk_no int, data binary, l
 
 
 def read_chunks(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
-    """The chunk table of the archives under ``path``; without ``data``, only each record's last row, without bytes."""
+    """The chunk table of the archives under ``path``; without ``data``, only each record's last row, without bytes.
+
+    An archive that ends inside a record, or whose payload doesn't have its digest, fails the job.
+    """
     small_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("_file"), F.col("value").cast("binary").alias("_line"))
     types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.string())
@@ -156,14 +195,16 @@ def read_chunks(spark: SparkSession, path: str, data: bool = True) -> DataFrame:
         for batch in batches:
             for at, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if at != file:
+                    parser.end()
                     file, parser = at, ArchiveParser()
-                row = parser.feed(line.as_py())
-                if row and (data or row[5]):
-                    rows.append(row if data else (*row[:4], None, *row[5:]))
-                    size += len(rows[-1][4] or b"") + 100
+                for row in parser.feed(line.as_py()):
+                    if data or row[5]:
+                        rows.append(row if data else (*row[:4], None, *row[5:]))
+                        size += len(rows[-1][4] or b"") + 100
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows, size = [], 0
+        parser.end()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -189,4 +230,14 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc_chunks": op6_warc_chunks}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_warc_chunks": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+d AS (SELECT page_id, octet_length(data) AS payload_bytes, sha1(data) || '00' AS h, max(page_id) OVER (PARTITION BY data) AS keeper FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', (((('0x' || substr(h, i * 5 // 4 + 1, 3))::INT >> (7 - i * 5 % 4)) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+}

@@ -413,10 +413,44 @@ def test_no_archives(spark, tmp_path):
     assert warc.read_records(spark, str(tmp_path / "w")).count() == 0
 
 
+def archive(*records, version="1.1"):
+    out = b""
+    for kind, id_, block, *more in records:
+        head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <{id_}>", "Content-Type: application/http", *more, f"Content-Length: {len(block)}"]
+        out += "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return out
+
+
+def parsed_archive(data):
+    parser, rows = warc.ArchiveParser(), []
+    for line in data.split(b"\n")[:-1]:
+        rows += parser.feed(line)
+    parser.end()
+    return rows
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+def test_foreign_records(version, monkeypatch):
+    """Records of other kinds are passed over wherever they stand; long payloads come in chunks, whatever bytes they hold."""
+    monkeypatch.setattr(warc, "CHUNK", 10)
+    payload = b"0123\n\r\n\r\n89\nabc\r\n" * 3
+    head = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n"
+    rows = parsed_archive(archive(("warcinfo", "i", b"software: x\r\n"), ("request", "q", b"GET /\r\n\r\n"), ("response", "urn:record:1", head + payload), ("metadata", "m", b""), ("response", "urn:record:2", head), ("revisit", "urn:record:3", head, "WARC-Refers-To: <urn:record:2>"), version=version))
+    one = [r for r in rows if r[0] == "1"]
+    assert b"".join(r[4] for r in one) == payload and all(len(r[4]) <= 10 for r in one) and [r[3] for r in one] == list(range(len(one)))
+    assert one[-1][5:] == (True, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()) and not any(r[5] for r in one[:-1])
+    assert [(r[0], r[1], r[2], r[6]) for r in rows if r[0] != "1"] == [("2", "response", None, 0), ("3", "revisit", "2", None)]
+
+
 def test_archive_errors():
-    parser = warc.ArchiveParser()
     with pytest.raises(ValueError, match="record was expected"):
-        parser.feed(b"HTTP/1.1 200 OK\r")
+        parsed_archive(b"HTTP/1.1 200 OK\r\n")
+    whole = archive(("response", "urn:record:1", b"HTTP/1.1 200 OK\r\n\r\nabc\nd"))
+    for cut_at in (len(whole) - 3, len(whole) - 20, 30):
+        with pytest.raises(ValueError, match="ends inside"):
+            parsed_archive(whole[:cut_at] + b"\n")
+    with pytest.raises(ValueError, match="digest"):
+        parsed_archive(archive(("response", "urn:record:1", b"HTTP/1.1 200 OK\r\n\r\nabc", "WARC-Payload-Digest: sha1:" + "A" * 32)))
 
 
 # 7
