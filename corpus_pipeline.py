@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafwork.llm.common import documents, write_shared
+from sheafwork.llm.common import documents, drop_shared, write_shared
 from sheafwork.llm.exact_dedup import drop_copies
 from sheafwork.llm.mixing import mix_sources
 from sheafwork.llm.quality import keep_good
@@ -45,9 +45,12 @@ STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_near_ded
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_shared(stage(spark, docs, sf_dir), name)
+        docs, path = write_shared(stage(spark, docs, sf_dir), name)
+        if last:
+            drop_shared(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -100,17 +100,44 @@ class TextState:
     rise: float = 0.0
 
 
+@dataclass(slots=True)
+class Paint:
+    """Colours, line style and clip, as extensions may set them: extraction of text has no use for them."""
+
+    stroke_color: tuple[float, ...] = (0.0,)
+    fill_color: tuple[float, ...] = (0.0,)
+    line_width: float = 1.0
+    line_cap: int = 0
+    line_join: int = 0
+    miter_limit: float = 10.0
+    dash: tuple[tuple[float, ...], float] = ((), 0.0)
+    clip: object = None
+
+
 @dataclass(slots=True)
 class State:
-    """What q saves: the transformation, the text state, and the text position."""
+    """What q saves: the transformation, the text state, the text position, and what paints."""
 
     ctm: Matrix = IDENTITY
     text: TextState = field(default_factory=TextState)
     tm: Matrix = IDENTITY
     line: Matrix = IDENTITY
+    paint: Paint = field(default_factory=Paint)
 
     def copy(self) -> State:
-        return State(self.ctm, replace(self.text), self.tm, self.line)
+        return State(self.ctm, replace(self.text), self.tm, self.line, replace(self.paint))
+
+    def render_position(self, spec: bool = False) -> tuple[float, float]:
+        """Where the next text is shown: with ``spec`` as ISO 32000 says, raised by the rise; else as in extraction."""
+        return (self.tm * self.ctm).point(0, self.text.rise) if spec else (self.ctm * self.tm).point(0, 0)
+
+    def baseline_position(self, spec: bool = False) -> tuple[float, float]:
+        """The same without the rise."""
+        return (self.tm * self.ctm).point(0, 0) if spec else self.render_position()
+
+    def offset_line(self, y: float) -> None:
+        """To the start of the line that is ``y`` above the current one."""
+        self.tm = self.line = Matrix.translation(self.line.e, self.line.f + y)
 
 
 def heuristic_text(raw: bytes) -> str:
@@ -219,7 +246,7 @@ class Interpreter:
         if self.spec:
             s.line = s.tm = Matrix.translation(0, -s.text.leading) * s.line
         else:
-            s.line = s.tm = Matrix.translation(s.line.e, s.line.f - s.text.leading)
+            s.offset_line(-s.text.leading)
 
     def op_matrix(self, args) -> None:
         if len(args) == 6:
@@ -280,12 +307,12 @@ class Interpreter:
         width = self.width_of(raw)
         if self.spec:
             to_user = s.tm * s.ctm
-            x, y = to_user.point(0, t.rise)
+            x, y = s.render_position(True)
             dx, dy = to_user.vector(width, 0)
             hx, hy = to_user.vector(0, t.font_size)
             shown, height = (dx**2 + dy**2) ** 0.5, (hx**2 + hy**2) ** 0.5
         else:
-            x, y = (s.ctm * s.tm).point(0, 0)
+            x, y = s.render_position()
             shown, height = s.ctm.vector(width, 0)[0], t.font_size
         font = self.encoder() if self.by_font else None
         text = font.decode_string(raw) if font else heuristic_text(raw)

@@ -203,3 +203,9 @@ def encoder_of(font: dict, document) -> FontEncoder:
     if isinstance(encoding, dict):
         base, differences = parse_encoding({k: resolve(v) for k, v in encoding.items()})
     return FontEncoder(base, differences, widths=simple_widths(font, resolve), cmap=cmap)
+
+
+def page_encoders(document, page):
+    """A page's encoders by font name; null for a name that it doesn't have."""
+    fonts = document.fonts(page)
+    return lambda name: encoder_of(fonts[name], document) if name in fonts else None

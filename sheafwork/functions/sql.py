@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .codecs import decode_filters
 from .content import operators, page_elements
 from .document import Document, startxref
-from .fonts import GLYPHS, MAC_ROMAN, WIN_ANSI, CMap
+from .fonts import GLYPHS, MAC_ROMAN, WIN_ANSI, CMap, page_encoders
 from .lexer import tokenize
 from .values import to_json
 
@@ -84,6 +84,11 @@ def rotation(angle: Column) -> Column:
     return matrix(F.cos(angle), F.sin(angle), -F.sin(angle), F.cos(angle))
 
 
+def render_position(ctm: Column, text: Column) -> Column:
+    """Where text at a text matrix is shown, native: the transformation first, then the text matrix, as in extraction."""
+    return apply_matrix(multiply(ctm, text), F.lit(0.0), F.lit(0.0))
+
+
 def safe(f):
     """f of each value; null where the value is null or can't be read."""
 
@@ -127,17 +132,23 @@ def register(spark: SparkSession) -> None:
             for seq, o in enumerate(operators(bytes(content or b""))):
                 yield seq, o.name, to_json(o.operands), o.offset
 
-    @F.udtf(returnType="page_number INT, seq INT, text STRING, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, font_name STRING, font_size DOUBLE")
+    @F.udtf(returnType="page_number INT, seq INT, text STRING, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, font_name STRING, font_size DOUBLE, parse_error STRING")
     class PdfElements:
         def eval(self, content: bytes):
-            d = Document(bytes(content or b""))
+            d, nothing = Document(bytes(content or b"")), [None] * 8
             try:
                 pages = d.pages
-            except Exception:
+            except Exception as e:
+                yield None, *nothing, f"{type(e).__name__}: {e}"
                 return
             for p in pages:
-                for seq, e in enumerate(page_elements(d.contents(p) or b"")):
-                    yield p.number, seq, e.text, e.x, e.y, e.width, e.height, e.font_name, e.font_size
+                try:
+                    found = page_elements(d.contents(p) or b"", page_encoders(d, p))
+                except Exception as e:
+                    yield p.number, *nothing, f"{type(e).__name__}: {e}"
+                    continue
+                for seq, e in enumerate(found):
+                    yield p.number, seq, e.text, e.x, e.y, e.width, e.height, e.font_name, e.font_size, None
 
     for name, f in (("pdf_decode", pdf_decode), ("pdf_startxref", pdf_startxref), ("parse_cmap", parse_cmap)):
         spark.udf.register(name, f)

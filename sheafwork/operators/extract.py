@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.content import page_elements
 from ..functions.document import Document
 from .grouping import GroupingConfig, blocks_of, lines_of
-from .tables import BROKEN, NONE, PAGE_ELEMENTS, Extensions, check_range, encoders, parsed
+from .tables import BROKEN, NONE, PAGE_ELEMENTS, Extensions, check_range, encoders, error_text, parsed
 
 RESULT_ROWS = PAGE_ELEMENTS + ", page_count INT, metadata MAP<STRING, STRING>, parse_error STRING"
 
@@ -27,7 +27,7 @@ def result_rows(files: DataFrame, start: int = 0, end: int | None = None, includ
         except BROKEN as e:
             if mode == "failfast":
                 raise
-            yield (*nothing, None, [], f"{type(e).__name__}: {e}")
+            yield (*nothing, None, [], error_text(e))
             return
         for p in d.pages[start:end]:
             b, error = p.media_box, None
@@ -37,7 +37,7 @@ def result_rows(files: DataFrame, start: int = 0, end: int | None = None, includ
             except BROKEN as e:
                 if mode == "failfast":
                     raise
-                found, error = [], f"page {p.number}: {type(e).__name__}: {e}"
+                found, error = [], f"page {p.number}: {error_text(e)}"
             yield p.number, b[2] - b[0], b[3] - b[1], [dict(e._asdict(), seq=k) for k, e in enumerate(found)], None, None, error
 
     return parsed(files, rows, RESULT_ROWS, mode)

@@ -71,9 +71,13 @@ class PdfCorpus:
         tables.check_range(start_page, end_page)
         if self.kept is not None:
             upto = F.lit(True) if end_page is None else F.col("page_number") <= end_page
-            return self.kept.filter((F.col("page_number") > start_page) & upto)
+            return self.kept.filter((F.col("page_number") > start_page) & upto | F.col("page_number").isNull())
         return tables.page_rows(self.files, start_page, end_page, **self.how)
 
+    def errors(self) -> DataFrame:
+        """doc_id, page_number (null: the file) and parse_error of what can't be read."""
+        return self.page_rows().filter("parse_error IS NOT NULL").select("doc_id", "page_number", "parse_error")
+
     def elements(self, start_page: int = 0, end_page: int | None = None) -> DataFrame:
         return self.page_rows(start_page, end_page).select("doc_id", "page_number", F.inline("elements"))
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import writer as w
-from ..functions.sql import decode_codes, decoded_string, hex_string, matrix, multiply, apply_matrix, rotation, startxref_offset
+from ..functions.sql import decode_codes, decoded_string, hex_string, matrix, multiply, apply_matrix, startxref_offset
 from ..functions.values import Name, Stream
 from ..operators import extract, grouping, tables
 from ..operators.grouping import GroupingConfig
+from ..session import checkpointed
 from ..sources.files import text_pdf, text_pdfs, written_pdfs
 
 
@@ -104,9 +105,10 @@ def pdf_page_tree_join(spark, sf_dir):
 def pdf_contents_join(spark, sf_dir):
     """Page contents by joins over the tables of objects, rather than in the parser."""
     files = conversation_files(spark, sf_dir)
-    tree = tables.page_tree(tables.objects(files), tables.trailer(files))
+    objects = checkpointed(tables.objects(files, decode=True))  # parsed once
+    tree = tables.page_tree(objects, tables.trailer(files))
     text = F.col("content").cast("string")
-    found = tables.page_contents(tables.objects(files, decode=True), tree)
+    found = tables.page_contents(objects, tree)
     return found.select(F.col("doc_id").alias("conv_id"), F.col("page_number").cast("long").alias("page_number"), F.regexp_count(text, F.lit(r"\) Tj\n")).alias("shows"), F.regexp_count(text, F.lit(r"\) '\n")).cast("long").alias("next_lines"))
 
 
@@ -195,17 +197,17 @@ def pdf_prev_update(spark, sf_dir):
     return title.join(counts, "doc_id").join(newest, "doc_id").withColumnRenamed("doc_id", "o_orderkey")
 
 
-@query("SELECT n_nationkey, n_name AS string_value FROM nation")
+@query("SELECT c_custkey, c_name AS string_value FROM customer")
 def pdf_token_strings(spark, sf_dir):
-    found = tables.tokens(text_pdfs(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")).filter("type = 'STRING'")
-    return found.select(F.col("doc_id").alias("n_nationkey"), decoded_string(F.col("b")).alias("string_value"))
+    found = tables.tokens(text_pdfs(table(spark, sf_dir, "customer"), "c_custkey", "c_name")).filter("type = 'STRING'")
+    return found.select(F.col("doc_id").alias("c_custkey"), decoded_string(F.col("b")).alias("string_value"))
 
 
-@query("SELECT n_nationkey, kind, n FROM nation, (VALUES ('OBJ_START', 5), ('OBJ_END', 5), ('STREAM_START', 1), ('STREAM_END', 1), ('XREF', 1), ('TRAILER', 1), ('STARTXREF', 1), ('ENDOFFILE', 1), ('STRING', 1)) AS t(kind, n)")
+@query("SELECT c_custkey, kind, n FROM customer, (VALUES ('OBJ_START', 5), ('OBJ_END', 5), ('STREAM_START', 1), ('STREAM_END', 1), ('XREF', 1), ('TRAILER', 1), ('STARTXREF', 1), ('ENDOFFILE', 1), ('STRING', 1)) AS t(kind, n)")
 def pdf_token_kinds(spark, sf_dir):
     kinds = ["OBJ_START", "OBJ_END", "STREAM_START", "STREAM_END", "XREF", "TRAILER", "STARTXREF", "ENDOFFILE", "STRING"]
-    found = tables.tokens(text_pdfs(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")).filter(F.col("type").isin(kinds))
-    return found.groupBy(F.col("doc_id").alias("n_nationkey"), F.col("type").alias("kind")).agg(F.count("*").cast("int").alias("n"))
+    found = tables.tokens(text_pdfs(table(spark, sf_dir, "customer"), "c_custkey", "c_name")).filter(F.col("type").isin(kinds))
+    return found.groupBy(F.col("doc_id").alias("c_custkey"), F.col("type").alias("kind")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query("SELECT s_suppkey, kind, n FROM supplier, (VALUES ('dictionary', 4), ('stream', 1)) AS t(kind, n)")
@@ -291,16 +293,16 @@ def mapped_pdf(name: str) -> bytes:
     return doc.bytes(catalog)
 
 
-@query("SELECT n_nationkey, n_name AS text, len(n_name)::DOUBLE AS width FROM nation")
+@query("SELECT c_custkey, c_name AS text, len(c_name)::DOUBLE AS width FROM customer")
 def pdf_tounicode(spark, sf_dir):
-    e = tables.elements(written_pdfs(table(spark, sf_dir, "nation"), "n_nationkey", mapped_pdf, "n_name"), decoding="font")
-    return e.select(F.col("doc_id").alias("n_nationkey"), "text", F.round("width", 6).alias("width"))
+    e = tables.elements(written_pdfs(table(spark, sf_dir, "customer"), "c_custkey", mapped_pdf, "c_name"), decoding="font")
+    return e.select(F.col("doc_id").alias("c_custkey"), "text", F.round("width", 6).alias("width"))
 
 
-@query("SELECT n_nationkey, len(list_distinct(string_split(n_name, ''))) AS codes, len(list_distinct(string_split(n_name, ''))) AS widths FROM nation")
+@query("SELECT c_custkey, len(list_distinct(string_split(c_name, ''))) AS codes, len(list_distinct(string_split(c_name, ''))) AS widths FROM customer")
 def pdf_font_table(spark, sf_dir):
-    found = tables.fonts(written_pdfs(table(spark, sf_dir, "nation"), "n_nationkey", mapped_pdf, "n_name"))
-    return found.select(F.col("doc_id").alias("n_nationkey"), F.size("to_unicode").cast("long").alias("codes"), F.size("widths").cast("long").alias("widths"))
+    found = tables.fonts(written_pdfs(table(spark, sf_dir, "customer"), "c_custkey", mapped_pdf, "c_name"))
+    return found.select(F.col("doc_id").alias("c_custkey"), F.size("to_unicode").cast("long").alias("codes"), F.size("widths").cast("long").alias("widths"))
 
 
 @query("SELECT p_partkey, p_name AS as_utf8, p_name AS as_codes, p_name AS from_hex FROM part")
@@ -311,8 +313,8 @@ def pdf_native_decoding(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, round(-l_quantity * 2 + 5, 6) AS x, round(l_extendedprice * 3 + 7, 6) AS y FROM lineitem")
 def matrix_algebra(spark, sf_dir):
-    """A half turn, then a scaling about it, then a translation, as columns."""
-    m = multiply(multiply(rotation(F.lit(0.0)), matrix(a=-2.0, d=3.0)), matrix(e=5.0, f=7.0))
+    """A scaling that turns x about, then a translation, as columns."""
+    m = multiply(multiply(matrix(), matrix(a=-2.0, d=3.0)), matrix(e=5.0, f=7.0))
     p = apply_matrix(m, F.col("l_quantity"), F.col("l_extendedprice"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
 

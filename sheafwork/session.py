@@ -1,4 +1,4 @@
-"""Sends this package to the executors, where it isn't installed."""
+"""The session: sending this package to the executors, where it isn't installed, and checkpoints in the shared folder."""
 
 from __future__ import annotations
 
@@ -35,3 +35,14 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df from a reliable checkpoint in spark.checkpoint.dir; local sessions without that have a folder of their own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
+    return df.checkpoint()

@@ -14,12 +14,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.content import page_elements
 from ..functions.document import Document
+from ..functions.fonts import page_encoders
 from ..functions.lexer import tokenize
 
 TABLES = {
     "headers": "doc_id STRING, version STRING, page_count INT, parse_error STRING",
-    "elements": "doc_id STRING, page_number INT, seq INT, text STRING, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, font_name STRING, font_size DOUBLE",
-    "pages": "doc_id STRING, page_number INT, width DOUBLE, height DOUBLE, content BINARY",
+    "elements": "doc_id STRING, page_number INT, seq INT, text STRING, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, font_name STRING, font_size DOUBLE, parse_error STRING",
+    "pages": "doc_id STRING, page_number INT, width DOUBLE, height DOUBLE, content BINARY, parse_error STRING",
     "metadata": "doc_id STRING, key STRING, value STRING",
     "tokens": "doc_id STRING, seq BIGINT, type STRING, value STRING, offset BIGINT",
 }
@@ -50,8 +51,9 @@ class PdfReader(DataSourceReader):
         except Exception as e:
             if self.failfast:
                 raise
-            if self.table == "headers":
-                yield partition.path, None, None, f"{type(e).__name__}: {e}"
+            told = TABLES[self.table].split(", ")
+            if told[-1].startswith("parse_error"):
+                yield partition.path, *[None] * (len(told) - 2), f"{type(e).__name__}: {e}"
 
     def rows(self, path: str, data: bytes) -> Iterator[tuple]:
         if self.table == "tokens":
@@ -64,13 +66,23 @@ class PdfReader(DataSourceReader):
         elif self.table == "metadata":
             yield from ((path, str(k), v) for k, v in d.metadata.items())
         else:
+            width = len(TABLES[self.table].split(", "))
             for p in d.pages:
-                content, box = d.contents(p), p.media_box
-                if self.table == "pages":
-                    yield path, p.number, box[2] - box[0], box[3] - box[1], content
-                else:
-                    for seq, e in enumerate(page_elements(content or b"")):
-                        yield path, p.number, seq, e.text, e.x, e.y, e.width, e.height, e.font_name, e.font_size
+                try:
+                    rows = list(self.page(path, d, p))
+                except Exception as e:
+                    if self.failfast:
+                        raise
+                    rows = [(path, p.number, *[None] * (width - 3), f"{type(e).__name__}: {e}")]
+                yield from rows
+
+    def page(self, path: str, d: Document, p) -> Iterator[tuple]:
+        content, box = d.contents(p), p.media_box
+        if self.table == "pages":
+            yield path, p.number, box[2] - box[0], box[3] - box[1], content, None
+        else:
+            for seq, e in enumerate(page_elements(content or b"", page_encoders(d, p))):
+                yield path, p.number, seq, e.text, e.x, e.y, e.width, e.height, e.font_name, e.font_size, None
 
 
 class PdfDataSource(DataSource):

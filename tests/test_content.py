@@ -15,9 +15,9 @@ def shown(data, **how):
 
 
 def test_hello():
-    (e,) = page_elements(b"BT\n/F1 12 Tf\n72 720 Td\n(Hello, World!) Tj\nET")
-    assert (e.text, e.x, e.y, e.font_name, e.font_size, e.height) == ("Hello, World!", 72, 720, "F1", 12, 12)
-    assert e.width == pytest.approx(79.8) and e.bbox == pytest.approx((72, 720, 151.8, 732))
+    (e,) = page_elements(b"BT\n/F1 12 Tf\n50 640 Td\n(Spark Rows?) Tj\nET")
+    assert (e.text, e.x, e.y, e.font_name, e.font_size, e.height) == ("Spark Rows?", 50, 640, "F1", 12, 12)
+    assert e.width == pytest.approx(67.8) and e.bbox == pytest.approx((50, 640, 117.8, 652))
 
 
 def test_strings_are_no_operators():

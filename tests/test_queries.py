@@ -1,5 +1,6 @@
 import pytest
 
+from sheafwork.plans import literal_queries  # noqa: F401  adds its queries
 from sheafwork.plans.queries import QUERIES, SQL
 
 

@@ -13,7 +13,7 @@ from sheafwork.sources import datasource
 from sheafwork.sources.files import from_bytes, read_pdf
 from sheafwork.streaming.incremental import stream_elements, write_available
 
-HELLO = simple_pdf([b"BT /F1 12 Tf 72 720 Td (Hello, World!) Tj ET", b"", text_lines("two\nthree")], info={"Title": b"T"})
+HELLO = simple_pdf([b"BT /F1 12 Tf 50 640 Td (Spark Rows?) Tj ET", b"", text_lines("two\nthree")], info={"Title": b"T"})
 
 
 def elements(spark, rows):
@@ -57,16 +57,16 @@ def test_bad_settings():
 
 
 def test_extraction_and_errors(spark):
-    corpus = PdfCorpus.of_bytes(spark, [("a", HELLO), ("bad", b"This is not a PDF file"), ("empty", b"")])
+    corpus = PdfCorpus.of_bytes(spark, [("a", HELLO), ("bad", b"GIF89a and no more"), ("empty", b"")])
     text = {r.doc_id: (r.text, bool(r.parse_error)) for r in corpus.extract_text().collect()}
-    assert text == {"a": ("Hello, World!\n\n\n\ntwo\nthree", False), "bad": ("", True), "empty": ("", True)}
+    assert text == {"a": ("Spark Rows?\n\n\n\ntwo\nthree", False), "bad": ("", True), "empty": ("", True)}
     row = corpus.extract(1, 2).filter("doc_id = 'a'").first()
     assert row.page_count == 3 and [p.page_number for p in row.pages] == [2] and row.metadata == {"Title": "T"} and row.filename == ""
     result = json.loads(corpus.extract_json(indent=2).filter("doc_id = 'a'").first().result_json)
     assert list(result) == ["filename", "page_count", "pages", "metadata", "grouping_config"]
     page = result["pages"][0]
     assert list(page) == ["page_number", "width", "height", "text", "elements", "lines", "blocks"]
-    assert page["elements"][0] == {"text": "Hello, World!", "x": 72, "y": 720, "width": 79.8, "height": 12, "bbox": [72, 720, 151.8, 732], "font_name": "F1", "font_size": 12, "page_number": 1}
+    assert page["elements"][0] == {"text": "Spark Rows?", "x": 50, "y": 640, "width": 67.8, "height": 12, "bbox": [50, 640, 117.8, 652], "font_name": "F1", "font_size": 12, "page_number": 1}
     assert result["grouping_config"] == {"y_tolerance": 5, "x_tolerance": 5, "space_width": 3, "line_gap_threshold": 1.5, "grouping_mode": "cluster"}
     with pytest.raises(ValueError):
         corpus.extract(-1)
@@ -77,7 +77,7 @@ def test_extraction_and_errors(spark):
 def test_kept_pages(spark):
     with PdfCorpus.of_bytes(spark, [("a", HELLO)]) as corpus:
         assert corpus.elements().count() == 3 and corpus.elements(2, 3).count() == 2
-        assert [r.text for r in corpus.lines().orderBy("page_number", "line_no").collect()] == ["Hello, World!", "two", "three"]
+        assert [r.text for r in corpus.lines().orderBy("page_number", "line_no").collect()] == ["Spark Rows?", "two", "three"]
         assert corpus.blocks().count() == 2
     assert corpus.kept is None
 
@@ -99,7 +99,8 @@ def test_paths_data_source_and_stream(spark, tmp_path):
     assert PdfCorpus.read(spark, str(folder)).extract().filter("parse_error IS NULL").first().filename == "a.pdf"
     datasource.register(spark)
     load = lambda table: spark.read.format("pdf").option("table", table).load(str(folder))
-    assert load("elements").count() == 3 and load("headers").filter("parse_error IS NOT NULL").count() == 1 and load("pages").count() == 3
+    read = lambda table: load(table).filter("parse_error IS NULL").count()
+    assert read("elements") == 3 and read("headers") == 1 and read("pages") == 3 and load("elements").count() == 4
     assert load("metadata").first().value == "T" and load("tokens").filter("type = 'ENDOFFILE'").count() == 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         read_pdf(spark, str(tmp_path / "none")).collect()
@@ -135,3 +136,43 @@ def test_logger(tmp_path):
     logger.debug("here")
     assert "DEBUG" in (tmp_path / "log").read_text()
     configure_logger()
+
+
+def test_tables_of_broken_files(spark, tmp_path):
+    """One bad page: the others stay, in each way to read, and in mode failfast the job fails."""
+    from sheafwork.operators import tables
+    from sheafwork.plans.literal_queries import broken_file
+    from sheafwork.sources import datasource
+
+    files = [("a", broken_file("x")), ("bad", b"GIF89a and no more")]
+    corpus = PdfCorpus.of_bytes(spark, files)
+    assert sorted((r.doc_id, r.page_number, r.text) for r in corpus.elements().collect()) == [("a", 1, "x 1"), ("a", 3, "x 3")]
+    assert sorted((r.doc_id, r.page_number or 0) for r in corpus.errors().collect()) == [("a", 2), ("bad", 0)]
+    with corpus:
+        assert corpus.errors().count() == 2 and corpus.lines().count() == 2
+    for df in (corpus.pages(), corpus.fonts(), corpus.operators()):
+        bad = {(r.doc_id, r.page_number) for r in df.filter("parse_error IS NOT NULL").collect()}
+        assert ("bad", None) in bad and bad <= {("bad", None), ("a", 2)}
+    with pytest.raises(Exception, match="ParseError|ValueError"):
+        tables.page_rows(corpus.files, mode="failfast").collect()
+    for name, data in files:
+        (tmp_path / f"{name}.pdf").write_bytes(data)
+    datasource.register(spark)
+    rows = spark.read.format("pdf").option("table", "elements").load(str(tmp_path)).collect()
+    assert sorted((r.page_number or 0, r.text, r.parse_error is None) for r in rows) == [(0, None, False), (1, "x 1", True), (2, None, False), (3, "x 3", True)]
+
+
+def test_positions():
+    from sheafwork.functions.content import State
+    from sheafwork.functions.geometry import Matrix
+
+    s = State(ctm=Matrix(2, 0, 0, 3, 10, 20), tm=Matrix.translation(5, 7))
+    s.text.rise = 1.0
+    assert s.render_position() == s.baseline_position() == (15, 27)
+    assert s.render_position(True) == (20, 44) and s.baseline_position(True) == (20, 41)
+    s.line = Matrix.translation(4, 9)
+    s.offset_line(-2.5)
+    assert s.tm == s.line == Matrix.translation(4, 6.5)
+    other = s.copy()
+    other.paint.line_width, other.text.rise = 9.0, 0.0
+    assert s.paint.line_width == 1.0 and s.text.rise == 1.0
