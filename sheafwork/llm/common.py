@@ -91,10 +91,14 @@ def hot_safe_lookup(facts: DataFrame, dims: DataFrame, keys: Sequence[str], weig
 
 
 def write_shared(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared folder and read again, and the path for drop_shared."""
+    """df written as Parquet to the shared folder and read again, and the path for drop_shared.
+
+    For loops: unlike a checkpoint, whose size is the planner's estimate (a product of sizes for each join, so that its
+    digits double with each round), a file has the size that it has.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, hot_safe_lookup
+from .common import cut, drop_shared, hot_safe_lookup, write_shared
 
 
 def _kept(nodes: DataFrame, most: int) -> DataFrame:
@@ -40,15 +40,19 @@ def component_labels(links: DataFrame, rounds: int = 100) -> DataFrame:
     the longest path. Each is a checkpoint. No table of links is ever gathered, and the links of a node with many are
     dealt out over tasks.
     """
-    edges = cut(links.filter("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct())
+    edges, path = write_shared(links.filter("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "links")
     state = None
     for _ in range(rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-        edges = cut(_small_star(cut(_large_star(edges, now[0])), now[0]))  # stars have no more links than before
+        edges, new = write_shared(_small_star(cut(_large_star(edges, now[0])), now[0]), "links")  # no more links than before
+        drop_shared(links.sparkSession, path)
+        path = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    edges = cut(edges)
+    drop_shared(links.sparkSession, path)
     roots = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))
     return roots.unionByName(roots.select(F.col("_root").alias("_node"), "_root").distinct())

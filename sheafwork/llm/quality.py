@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, documents, hot_safe_lookup, small_batches
+from .common import cut, documents, drop_shared, hot_safe_lookup, small_batches, write_shared
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -215,7 +215,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     keys, fields = [*GROUP, "n", "_start"], ("mean", "inverse", "logdet")
     # The first values are no estimates that cover COVER, so their determinants don't count.
     state = median_start(rows, sizes).unionByName(drawn_starts(rows, sizes)).withColumns({"logdet": F.lit(float("inf")), "_open": F.lit(True)})
-    state = cut(state)
+    state, path = write_shared(state, "estimates")
     for step in range(1, ROUNDS + 1):
         new = concentrated(rows, state.filter("_open")).select(*keys, F.struct(*fields).alias("_new"))
         better = F.col("_new.logdet") < F.col("logdet")
@@ -225,9 +225,13 @@ def estimates(stats: DataFrame) -> DataFrame:
         if step == FIRST_STEPS:
             best = Window.partitionBy(*GROUP).orderBy("logdet", "_start")  # DRAWN + 1 rows
             state = state.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-        state = cut(state)
+        state, new = write_shared(state, "estimates")
+        drop_shared(stats.sparkSession, path)
+        path = new
         if step >= FIRST_STEPS and state.filter("_open").isEmpty():
-            return state.select(*GROUP, "n", *fields)
+            out = cut(state.select(*GROUP, "n", *fields))
+            drop_shared(stats.sparkSession, path)
+            return out
     raise RuntimeError(f"determinants did not settle in {ROUNDS} steps")
 
 
