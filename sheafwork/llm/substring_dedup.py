@@ -1,12 +1,15 @@
-"""Substring dedup by level-wise doubling: what repeats at half the window's length alone is extended to the whole.
-
-Level 1 looks at runs of half the window's words. Of the half-runs inside each window the one with the least hash
-stands for it (equal windows have equal ones, so none is lost); these few per document are grouped, and those found in
-one document alone end here. Level 2 takes only windows whose half-run survived, by a 96-bit hash of the whole
-window, and removes those that start in a document with a smaller id. Texts meet their surviving hashes by id.
-
-Windows under a half-run with more than one row in HOT_KEYS could be a hot group: these go through a partial aggregate
-and a join that Spark can split, all others are sorted by hash and streamed, holding one row at a time.
+"""Substring dedup by level-wise doubling: runs of words that repeat at one length alone are extended to twice that length.
+
+Lengths double (each is half the next one, rounded up) from SEED words or fewer to the window: 13, 25, 50. The shortest
+runs are seeds: of those inside each window the one with the least hash stands for it (equal windows have equal ones, so
+none is lost). The next length is looked at within windows whose seed was found in another document. From then on a run
+is a candidate only if both its halves, the run of the length before at its start and the one at its end, were found in
+another document. This goes on until no candidate survives or the window is reached; there a run goes if it also starts
+in a document with a smaller id. Every level writes one row for each document and run, and texts meet what survived of
+them by id. Seeds and halves are told apart by 64 bits of hash, windows by 96.
+
+Runs with more than one row in HOT_KEYS, estimated on a sample which decides this way alone, go through a partial
+aggregate and a broadcast of fewer than HOT_KEYS rows; all others are sorted by hash and streamed, one row held at a time.
 """
 
 from __future__ import annotations
@@ -22,13 +25,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import HOT_KEYS, cut, documents, drop_shared, free_finished, hot_safe_lookup, small_batches, write_shared
+from .common import HOT_KEYS, cut, documents, drop_shared, free_finished, small_batches, write_shared
 
 #: Odd multipliers of two polynomial hashes modulo 2**64 (any would do), and of the finalising mix.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK = (1 << 64) - 1
 OUT_ROWS = 1 << 15
+#: Words of the shortest runs, at most.
+SEED = 16
+#: Part of a level's rows on which hot runs are looked for.
+SAMPLE = 1 / 16
+
+
+def doubling(window: int) -> list[int]:
+    """The lengths of the levels, up to the window."""
+    lengths = [window]
+    while lengths[0] > SEED:
+        lengths.insert(0, (lengths[0] + 1) // 2)
+    return lengths
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,21 +66,18 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-class Windows:
-    """Hashes of all windows of a text's words."""
+class Runs:
+    """Hashes of all runs of so many words in a text."""
 
-    def __init__(self, window: int) -> None:
-        self.window, self.half = window, (window + 1) // 2
+    def __init__(self) -> None:
         self.powers = [Powers(b) for b in BASES]
         self.hash_of = Kept(xxhash.xxh64_intdigest)
 
-    def words(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").split()
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "surrogatepass").split()
         return np.fromiter(map(self.hash_of.__getitem__, words), np.uint64, len(words))
 
-    def runs(self, numbers: np.ndarray, length: int, which: int) -> np.ndarray:
+    def runs(self, numbers: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         n = len(numbers)
         if n < length:
             return np.empty(0, np.uint64)
@@ -74,9 +86,9 @@ class Windows:
         np.cumsum((numbers if which == 0 else mixed(numbers)) * up[:n], out=total[1:])
         return mixed((total[length:] - total[:-length]) * down[: n - length + 1])
 
-    def anchors(self, numbers: np.ndarray) -> np.ndarray:
-        """For each window, the least hash of the half-runs in it."""
-        low, width, span = self.runs(numbers, self.half, 0), self.window - self.half + 1, 1
+    def seeds(self, numbers: np.ndarray, length: int, window: int) -> np.ndarray:
+        """For each window, the least hash of the runs in it."""
+        low, width, span = self.runs(numbers, length), window - length + 1, 1
         if len(low) < width:
             return np.empty(0, np.uint64)
         n = len(low) - width + 1
@@ -85,87 +97,116 @@ class Windows:
             span *= 2
         return np.minimum(low[:n], low[width - span : width - span + n])
 
-
-@lru_cache(2)
-def windows_of(window: int) -> Windows:
-    return Windows(window)
-
-
-def half_runs(docs: DataFrame, window: int, kind: str) -> DataFrame:
-    """(_h, _id): the anchors of each document, each once."""
+    def candidates(self, numbers: np.ndarray, alive: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
+        """Where the runs of a level start whose shorter runs are alive."""
+        window, length, before = lengths[-1], lengths[level], lengths[level - 1]
+        if level == 1:
+            at = np.isin(self.seeds(numbers, before, window), alive).astype(np.int64)
+            inside = np.concatenate([at, np.zeros(window - length, np.int64)])  # in a window that starts here or a little before
+            total = np.concatenate([[0], np.cumsum(inside)])
+            first = np.maximum(np.arange(len(inside)) - (window - length), 0)
+            return np.flatnonzero(total[1:] > total[first]) if len(at) else at
+        half = np.isin(self.runs(numbers, before), alive)
+        shift = length - before
+        return np.flatnonzero(half[:-shift] & half[shift:])
+
+
+@lru_cache(1)
+def hasher() -> Runs:
+    return Runs()
+
+
+ROW = "_ha bigint, _hb int, _id "
+
+
+def level_rows(docs: DataFrame, lengths: list[int], level: int, kind: str) -> DataFrame:
+    """(_ha, _hb, _id): the runs of a level in each document, each once. docs: (_id, _text) and, after level 0, _alive."""
+
+    def found(text: str | None, alive: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        h = hasher()
+        numbers = h.numbers(text)
+        if level == 0:
+            a = np.unique(h.seeds(numbers, lengths[0], lengths[-1]))
+            at = None
+        else:
+            at = h.candidates(numbers, np.array(alive, np.int64).view(np.uint64), lengths, level)
+            a, first = np.unique(h.runs(numbers, lengths[level])[at], return_index=True)
+            at = at[first]
+        if level < len(lengths) - 1 or at is None:
+            return a.view(np.int64), np.zeros(len(a), np.int32)
+        return a.view(np.int64), (h.runs(numbers, lengths[level], 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows_of(window)
         for batch in batches:
-            found = [np.unique(w.anchors(w.numbers(w.words(t)))) for t in batch.column(1).to_pylist()]
-            places = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            hashes = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            for at in range(0, len(hashes), OUT_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + OUT_ROWS]), batch.column(0).take(pa.array(places[at : at + OUT_ROWS]))], names=["_h", "_id"])
-
-    return docs.mapInArrow(run, f"_h bigint, _id {kind}")
+            texts = batch.column(1).to_pylist()
+            alive = batch.column(2).to_pylist() if level else [None] * len(texts)
+            rows = [found(t, x) for t, x in zip(texts, alive, strict=True)]
+            places = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+            a, b = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0, t) for k, t in ((0, np.int64), (1, np.int32)))
+            for at in range(0, len(a), OUT_ROWS):
+                part = slice(at, at + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), batch.column(0).take(pa.array(places[part]))], names=["_ha", "_hb", "_id"])
 
+    return docs.mapInArrow(run, ROW + kind)
 
-def surviving_windows(docs: DataFrame, window: int, kind: str) -> DataFrame:
-    """(_ha, _hb, _id, _pos, _busy) of the windows whose anchor is in _alive; _busy if it is hot."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows_of(window)
-        for batch in batches:
-            for row, (text, alive, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                numbers = w.numbers(w.words(text))
-                anchors = w.anchors(numbers)
-                at = np.flatnonzero(np.isin(anchors, np.array(alive, np.int64).view(np.uint64)))
-                if not len(at):
-                    continue
-                busy = np.isin(anchors[at], np.array(hot, np.int64).view(np.uint64))
-                a, b = w.runs(numbers, window, 0)[at].view(np.int64), (w.runs(numbers, window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                ids = batch.column(0).take(pa.array(np.full(len(at), row)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids, pa.array(at.astype(np.int32)), pa.array(busy)], names=["_ha", "_hb", "_id", "_pos", "_busy"])
-
-    return docs.mapInArrow(run, f"_ha bigint, _hb int, _id {kind}, _pos int, _busy boolean")
-
-
-def later_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _pos) of the rows whose id isn't the first of their hash, from rows sorted by hash and id."""
-    key, first = None, None
+def shared_runs(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by hash and id, (_ha, _id) of those in two documents; at the last level of all but the first."""
+    key, first, shown = None, None, True
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        new[0] = (a[0], b[0]) != key
-        start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-        firsts = ids[np.maximum(start, 0)]
-        if first is not None:
-            firsts = np.where(start < 0, first, firsts)
+        goes_on = (a[0], b[0]) == key
+        start = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        firsts = ids[start]
+        if goes_on:
+            firsts = np.where(start == 0, first, firsts)
+        keep = ids > firsts
+        met = np.unique(start[keep])
+        if not last:
+            if goes_on and not shown and len(met) and met[0] == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([a[0]], pa.int64()), pa.array([first], batch.schema.field(2).type)], names=["_ha", "_id"])
+            keep[met[1:] if goes_on and len(met) and met[0] == 0 else met] = True
+        shown = (len(met) > 0 and met[-1] == start[-1]) or (shown and goes_on and start[-1] == 0)
         key, first = (a[-1], b[-1]), firsts[-1]
-        later = np.flatnonzero(ids > firsts)
-        if len(later):
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(later)) for k in (2, 3)], names=["_id", "_pos"])
-
-
-def repeated_starts(docs: DataFrame, window: int) -> DataFrame:
-    """(_id, _at): where windows start that also start in a document with a smaller id. docs: (_id, _text), no null ids."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["_id"]
-    anchors, path = write_shared(half_runs(docs, window, kind), "half-runs")
-    met = anchors.groupBy("_h").agg(F.min("_id").alias("_a"), F.max("_id").alias("_z"), F.count(F.lit(1)).alias("_n"))
-    total = anchors.count()
-    alive = cut(met.filter("_a < _z").select("_h", "_n", (F.col("_n") * HOT_KEYS > total).alias("_hot_run")))
-    hits = hot_safe_lookup(anchors, alive, ["_h"], "_n", F.col("_id")).filter("_n IS NOT NULL")
-    hits = cut(hits.groupBy("_id").agg(F.collect_list("_h").alias("_alive"), F.collect_list(F.when(F.col("_hot_run"), F.col("_h"))).alias("_hot_runs")))
-    drop_shared(spark, path)
-    free_finished(spark)
-    rows = surviving_windows(docs.join(hits, "_id"), window, kind)
-    calm = rows.filter("NOT _busy").select("_ha", "_hb", "_id", "_pos").repartition("_ha", "_hb").sortWithinPartitions("_ha", "_hb", "_id")
-    starts = calm.mapInArrow(later_starts, f"_id {kind}, _pos int")
-    if alive.filter("_hot_run").limit(1).count():
-        busy = rows.filter("_busy").select("_ha", "_hb", "_id", "_pos")
-        first = busy.groupBy("_ha", "_hb").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        more = hot_safe_lookup(busy, cut(first), ["_ha", "_hb"], "_n", F.col("_id")).filter("_id > _first").select("_id", "_pos")
-        starts = starts.unionByName(more)
-    return cut(starts.groupBy("_id").agg(F.array_sort(F.collect_set("_pos")).alias("_at")))
+        out = pa.array(np.flatnonzero(keep))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(out), batch.column(2).take(out)], names=["_ha", "_id"])
+
+
+def survivors(rows: DataFrame, last: bool, kind: str) -> DataFrame:
+    """(_id, _alive): each document's runs that are in another one too; at the last level, in one with a smaller id."""
+    sample = rows.sample(False, SAMPLE, 7)
+    size = sample.count()
+    counts = sample.groupBy("_ha", "_hb").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) & (F.col("_n") * HOT_KEYS > size))
+    hot = cut(counts.select("_ha", "_hb"))
+    calm = rows.join(F.broadcast(hot), ["_ha", "_hb"], "left_anti") if hot.limit(1).count() else rows
+    out = calm.repartition("_ha", "_hb").sortWithinPartitions("_ha", "_hb", "_id").mapInArrow(lambda b: shared_runs(b, last), f"_ha bigint, _id {kind}")
+    if calm is not rows:
+        busy = rows.join(F.broadcast(hot), ["_ha", "_hb"], "left_semi")
+        met = cut(busy.groupBy("_ha", "_hb").agg(F.min("_id").alias("_a"), F.max("_id").alias("_z")).filter("_a < _z"))
+        out = out.unionByName(busy.join(F.broadcast(met), ["_ha", "_hb"]).filter("_id > _a" if last else "true").select("_ha", "_id"))
+    return cut(out.groupBy("_id").agg(F.collect_set("_ha").alias("_alive")))
+
+
+def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+    """(_id, _alive): hashes of the windows that also start in a document with a smaller id. docs: (_id, _text), no null ids."""
+    spark, kind, lengths = docs.sparkSession, dict(docs.dtypes)["_id"], doubling(window)
+    hits = None
+    for level in range(len(lengths)):
+        texts = docs if hits is None else docs.join(hits, "_id")
+        rows, path = write_shared(level_rows(texts, lengths, level, kind), "runs")
+        del texts
+        free_finished(spark)  # the texts' shuffle goes before the runs move
+        hits = survivors(rows, level == len(lengths) - 1, kind)
+        drop_shared(spark, path)
+        free_finished(spark)
+        if not hits.limit(1).count():
+            break
+    return hits
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -179,17 +220,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    starts = repeated_starts(slim.filter("_id IS NOT NULL"), window)
-    free_finished(docs.sparkSession)  # the windows' shuffle goes before the texts move again
+    gone = repeated_windows(slim.filter("_id IS NOT NULL"), window)
     schema = f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed array<struct<first: int, past: int>>" * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for id_, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for id_, text, alive in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
+                at = np.flatnonzero(np.isin(hasher().runs(hasher().numbers(text), window), np.array(alive, np.int64).view(np.uint64))).tolist() if alive else ()
                 spans: list[list[int]] = []
-                for p in at or ():
+                for p in at:
                     if spans and p <= spans[-1][1]:
                         spans[-1][1] = p + window
                     else:
@@ -210,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     from pyspark.sql.types import _parse_datatype_string
 
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
-    out = slim.join(starts, "_id", "left").select("_id", "_text", "_at").mapInArrow(run, schema)
+    out = slim.join(gone, "_id", "left").select("_id", "_text", "_alive").mapInArrow(run, schema)
     return out.withColumnRenamed("_id", id_col)
 
 

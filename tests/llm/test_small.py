@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,16 +235,47 @@ def removed(rows, window):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize(("window", "hot"), [(50, 1000), (7, 1000), (50, 10**9), (2, 1000)])
-def test_substrings(docs, monkeypatch, window, hot, lookup_rows):
-    """hot 10**9: every repeated window takes the way of the hot ones."""
+def test_lengths_double():
+    assert substring_dedup.doubling(50) == [13, 25, 50] and substring_dedup.doubling(1) == [1]
+
+
+@pytest.mark.parametrize(("window", "seed", "hot"), [(50, 16, 1000), (50, 3, 1000), (7, 2, 1000), (50, 16, 10**9), (7, 2, 10**9), (2, 1, 1000), (1, 1, 1000)])
+def test_substrings(docs, monkeypatch, window, seed, hot):
+    """hot 10**9: every repeated run takes the way of the hot ones."""
     monkeypatch.setattr(substring_dedup, "HOT_KEYS", hot)
-    rows = [r for r in corpus() if r[0] != 11] if window == 2 else corpus()
-    df = docs if window != 2 else docs.filter("doc_id IS NULL OR doc_id <> 11")
+    monkeypatch.setattr(substring_dedup, "SEED", seed)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1.0)
+    rows = [r for r in corpus() if r[0] != 11] if window <= 2 else corpus()
+    df = docs if window > 2 else docs.filter("doc_id IS NULL OR doc_id <> 11")
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in substring_dedup.remove_repeats(df, window).collect()]
     assert sorted(got, key=key) == removed(rows, window)
 
 
+def test_both_halves_must_survive():
+    h, words = substring_dedup.hasher(), [f"w{i}" for i in range(60)]
+    numbers = h.numbers(" ".join(words))
+    runs = h.runs(numbers, 25)
+    assert h.candidates(numbers, runs[[3, 28, 5]], [13, 25, 50], 2).tolist() == [3]  # 5 has its first half only
+    seeds = h.seeds(numbers, 13, 50)
+    some = np.unique(seeds)[:1]
+    inside = {p for q in np.flatnonzero(seeds == some) for p in range(q, q + 26)}
+    assert set(h.candidates(numbers, some, [13, 25, 50], 1).tolist()) == inside
+    assert not len(h.candidates(numbers[:10], some, [13, 25, 50], 1)) and not len(h.candidates(numbers[:10], some, [13, 25, 50], 2))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+@pytest.mark.parametrize("last", [False, True])
+def test_shared_runs_over_batches(size, last):
+    r = random.Random(size)
+    rows = sorted((r.randint(0, 9), r.randint(0, 1), r.randint(0, 6)) for _ in range(40))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size]), (pa.int64(), pa.int32(), pa.int64()))], names=["_ha", "_hb", "_id"]) for k in range(0, len(rows), size)]
+    got = {(a, i) for b in substring_dedup.shared_runs(iter(batches), last) for a, i in zip(*(c.to_pylist() for c in b.columns))}
+    ids = defaultdict(set)
+    for a, b, i in rows:
+        ids[a, b].add(i)
+    assert got == {(a, i) for (a, b), v in ids.items() if len(v) > 1 for i in v if not last or i > min(v)}
+
+
 def test_substrings_of_nothing(none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
